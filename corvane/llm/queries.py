@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import languages, mixing, near_duplicates, packing, splitting, tokens
+from corvane.llm import answer_defects, languages, mixing, near_duplicates, packing, splitting, tokens
 from corvane.session import cut, table
 
 
@@ -30,6 +30,15 @@ def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_budget(table(spark, d, "documents"), table(spark, d, "atoms"), table(spark, d, "lang_codes"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    model = languages.fit_text_model(table(spark, d, "documents"), table(spark, d, "lang_codes"))
+    return answer_defects.answer_defects(table(spark, d, "enrichment"), model)
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return answer_defects.defect_counts(p4_found(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = splitting.atom_pieces(table(spark, d, "atoms"), with_text=False)
     return pieces.where("piece_no = 0 and n_pieces > 1").select("atom_id").distinct()
@@ -73,7 +82,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_token_budget, p5_found, p5_pieces, p6_containers, p7_mixture, p7_shares, p8_found, p8_languages, p8_segments)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_token_budget, p4_found, p4_counts, p5_found, p5_pieces, p6_containers, p7_mixture, p7_shares, p8_found, p8_languages, p8_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
