@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import cut, ensure_checkpoint_dir
+from corvane.session import cut, ensure_checkpoint_dir, small
 
 BITS = 128
 BANDS = 22
@@ -319,12 +319,13 @@ def near_duplicate_links(records: DataFrame, id_col: str, text_col: str, thresho
     sketches = signed.groupBy("set_key").agg(F.min("rec_id").alias("rep_id"), F.any_value("band_keys").alias("band_keys"), F.any_value("bits").alias("bits"))
     pairs = cut(candidate_pairs(sketches, budget))
     wanted = pairs.select(F.explode(F.array("key_a", "key_b")).alias("set_key")).distinct()
-    reps = wanted.join(sketches.select("set_key", "rep_id"), "set_key")
-    # One text for each class in question: the texts are read again, only those of representatives are shuffled.
+    reps = cut(wanted.join(sketches.select("set_key", "rep_id"), "set_key"))
+    # One text for each class in question: the texts are read again. While the representatives in question are few, they
+    # are broadcast and no text is shuffled before it is filtered.
     texts = (
         records.select(F.col(id_col).cast("string").alias("rep_id"), F.col(text_col).alias("body"))
         .where("body is not null")
-        .join(reps, "rep_id")
+        .join(small(reps), "rep_id")
         .select("set_key", "body")
         .mapInArrow(_shingle_rows(words), "set_key long, hashes binary")
     )
