@@ -98,10 +98,21 @@ def identifier_term(raw: Column) -> Column:
     return F.regexp_replace(slug, "^_+|_+$", "")
 
 
+def plain_terms(text: Column, analyzer: str = DEFAULT_ANALYZER) -> Column:
+    """The terms of an analyzer without identifiers before stemming, as array<string>.
+
+    Folding the whole text before the split gives the same words as folding each word after it, at one pass over the text.
+    """
+    folds, _, idents = ANALYZERS[analyzer]
+    if idents:
+        raise ValueError(f"{analyzer} makes whole terms of identifiers: use unstemmed_terms()")
+    return tokenize(text) if folds else _words(F.lower(text), NON_WORD_OR_MARK)
+
+
 def unstemmed_terms(text: Column, analyzer: str = DEFAULT_ANALYZER) -> Column:
     """The analyzer's terms before stemming, as array<struct<term, whole>>; whole terms of identifiers are not stemmed."""
     folds, _, idents = ANALYZERS[analyzer]
-    plain = lambda x: fold_tokens(lower_tokens(split_tokens(x))) if folds else lower_tokens(split_tokens(x))
+    plain = lambda x: tokenize(x) if folds else _words(F.lower(x), NON_WORD_OR_MARK)
     tag = lambda terms, whole: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(whole).alias("whole")))
     if not idents:
         return tag(plain(text), False)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions import text as tx
+from corvane.session import cut
 
 #: The indexed text columns in their order.
 COLUMNS = ("body", "short", "long", "doc_desc", "keywords", "entities", "questions")
@@ -67,15 +68,22 @@ class Index:
     postings: DataFrame
     docs: DataFrame  # (atom_id, doc_len)
     analyzer: str
+    kept: bool = False  # read from storage, which does not keep the partitioning by document
+
+    def by_document(self) -> DataFrame:
+        """The postings partitioned by document, so that sums over a document's terms stay in its task."""
+        return self.postings.repartition("atom_id") if self.kept else self.postings
 
     @staticmethod
     def build(corpus: DataFrame, analyzer: str, text: Column | None = None) -> Index:
         """corpus: one row an atom_id. Documents without terms count in N and in the average length, with length 0."""
         text = F.col("body") if text is None else text
-        terms = tx.unstemmed_terms(F.coalesce(text, F.lit("")), analyzer)
+        idents = tx.ANALYZERS[analyzer][2]
+        terms = (tx.unstemmed_terms if idents else tx.plain_terms)(F.coalesce(text, F.lit("")), analyzer)
         placed = corpus.select("atom_id", terms.alias("terms")).repartition("atom_id").withColumn("doc_len", F.size("terms"))
-        tokens = placed.select("atom_id", "doc_len", F.explode("terms").alias("t")).select("atom_id", "doc_len", "t.term", "t.whole")
-        tokens = tx.stem_terms(tokens, analyzer)
+        tokens = placed.select("atom_id", "doc_len", F.explode("terms").alias("t"))
+        tokens = tokens.select("atom_id", "doc_len", "t.term", "t.whole") if idents else tokens.withColumnRenamed("t", "term")
+        tokens = tx.stem_terms(tokens, analyzer, whole="whole" if idents else None)
         postings = tokens.groupBy("atom_id", "doc_len", "term").agg(F.count("*").alias("tf"))
         return Index(postings, placed.select("atom_id", "doc_len"), analyzer)
 
@@ -88,6 +96,10 @@ class Index:
         rows = self.postings if terms is None else self.postings.join(F.broadcast(terms), "term", "left_semi")
         return rows.groupBy("term").agg(F.count("*").alias("df"))
 
+    def stored(self) -> Index:
+        """The same index, made once: its postings are written to the checkpoint folder."""
+        return Index(cut(self.postings), cut(self.docs), self.analyzer, True)
+
     def write(self, path: str) -> None:
         """Postings sorted by term inside each file, so that a query's terms prune row groups."""
         self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
@@ -100,15 +112,19 @@ class Index:
         stamp = spark.read.parquet(f"{path}/stamp").first()
         if stamp is None or stamp.analyzer != analyzer:
             raise ValueError(f"the index was built with analyzer {stamp and stamp.analyzer!r}, not {analyzer!r}")
-        return Index(spark.read.parquet(f"{path}/postings").repartition("atom_id"), spark.read.parquet(f"{path}/docs"), analyzer)
+        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), analyzer, True)
 
 
 def positions(fields: DataFrame, analyzer: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """(atom_id, col, pos, term, doc_len) of every token of every column; doc_len counts all columns."""
-    term_lists = [F.struct(F.lit(c).alias("col"), tx.unstemmed_terms(F.col(c), analyzer).alias("terms")) for c in columns]
+    idents = tx.ANALYZERS[analyzer][2]
+    split = tx.unstemmed_terms if idents else tx.plain_terms
+    term_lists = [F.struct(F.lit(c).alias("col"), split(F.col(c), analyzer).alias("terms")) for c in columns]
     placed = fields.repartition("atom_id").select("atom_id", F.array(*term_lists).alias("fields"))
     placed = placed.withColumn("doc_len", F.aggregate("fields", F.lit(0), lambda s, x: s + F.size(x["terms"])))
     by_col = placed.select("atom_id", "doc_len", F.explode("fields").alias("f")).select("atom_id", "doc_len", "f.col", F.posexplode("f.terms").alias("pos", "t"))
+    if not idents:
+        return tx.stem_terms(by_col.withColumnRenamed("t", "term"), analyzer, whole=None)
     return tx.stem_terms(by_col.select("atom_id", "doc_len", "col", "pos", "t.term", "t.whole"), analyzer).drop("whole")
 
 
@@ -117,7 +133,7 @@ def novel_keywords(records: DataFrame, analyzer: str = "nostem-fold") -> DataFra
 
     records: atom_id, body, keywords. The analyzer must not stem, as this stays one expression a row.
     """
-    terms = lambda c: F.transform(tx.unstemmed_terms(c, analyzer), lambda t: t["term"])
+    terms = lambda c: tx.plain_terms(c, analyzer)
     rows = records.select("atom_id", F.coalesce(F.array_compact("keywords"), F.array().cast("array<string>")).alias("kw"), terms(F.coalesce("body", F.lit(""))).alias("body_terms"))
     novel = lambda k: F.size(F.array_except(terms(k), F.col("body_terms"))) > 0
     return rows.select("atom_id", F.filter("kw", novel).alias("kept"), F.filter("kw", lambda k: ~novel(k)).alias("dropped"))

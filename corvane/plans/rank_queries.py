@@ -32,23 +32,27 @@ def linear_index(spark: SparkSession, d: str, analyzer: str = ANALYZER) -> ix.In
     return ix.Index.build(corpus(spark, d), analyzer, text_of())
 
 
+def body_index(spark: SparkSession, d: str) -> ix.Index:
+    return ix.Index.build(corpus(spark, d), ANALYZER)
+
+
 def r1_bm25_linear(spark: SparkSession, d: str) -> DataFrame:
-    idx = linear_index(spark, d)
+    idx = linear_index(spark, d).stored()
     return rk.top_k(rk.bm25(idx, rk.query_terms(queries_of(spark, d), ANALYZER)), K)
 
 
 def r1_bm25_porter(spark: SparkSession, d: str) -> DataFrame:
-    idx = linear_index(spark, d, "porter-fold")
+    idx = linear_index(spark, d, "porter-fold").stored()
     return rk.top_k(rk.bm25(idx, rk.query_terms(queries_of(spark, d), "porter-fold")), K)
 
 
 def r8_bm25_plus(spark: SparkSession, d: str) -> DataFrame:
-    idx = ix.Index.build(corpus(spark, d), ANALYZER)
+    idx = body_index(spark, d).stored()
     return rk.top_k(rk.bm25(idx, rk.query_terms(queries_of(spark, d), ANALYZER), b=0.7, delta=0.5), K)
 
 
 def r9_bm25_body(spark: SparkSession, d: str) -> DataFrame:
-    idx = ix.Index.build(corpus(spark, d), ANALYZER)
+    idx = body_index(spark, d).stored()
     return rk.top_k(rk.bm25(idx, rk.query_terms(queries_of(spark, d), ANALYZER)), K)
 
 
@@ -62,7 +66,7 @@ WEIGHTS = {"body": 1.0, "short": 2.0, "keywords": 1.5, "questions": 0.5}
 def _fts(spark: SparkSession, d: str, weights: dict[str, float], columns: tuple[str, ...], adjacency: bool = False) -> DataFrame:
     fields = _fields(spark, d) if len(columns) > 1 else ix.indexed_fields(corpus(spark, d))
     pos = ix.positions(fields, ANALYZER, columns)
-    lengths = [F.size(tx.unstemmed_terms(F.col(c), ANALYZER)) for c in columns]
+    lengths = [F.size(tx.plain_terms(F.col(c), ANALYZER)) for c in columns]
     docs = fields.select("atom_id", sum(lengths[1:], lengths[0]).alias("doc_len"))
     return rk.top_k(rk.fts_bm25(pos, docs, rk.disjuncts(queries_of(spark, d), ANALYZER, adjacency), weights), K)
 
@@ -89,7 +93,7 @@ def r7_phrase_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _prf(spark: SparkSession, d: str):
-    idx = ix.Index.build(corpus(spark, d), ANALYZER)
+    idx = body_index(spark, d).stored()
     terms = rk.query_terms(queries_of(spark, d), ANALYZER, distinct=False)
     first = rk.top_k(rk.bm25(idx, rk.query_terms(queries_of(spark, d), ANALYZER)), 10)
     return idx, rk.rm3_weights(terms, first, idx.postings)
@@ -105,7 +109,7 @@ def r14_prf_rescore(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r17_sweep(spark: SparkSession, d: str) -> DataFrame:
-    idx = linear_index(spark, d)
+    idx = linear_index(spark, d).stored()
     grid = spark.createDataFrame([(k1, b) for k1 in (0.9, 1.2, 1.5) for b in (0.4, 0.75)], "k1 double, b double")
     return rk.top_k(rk.sweep(idx, rk.query_terms(queries_of(spark, d), ANALYZER), grid), 3, ("k1", "b", "query_id"))
 
@@ -162,7 +166,7 @@ def i10_commonest_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i10_rarest_terms(spark: SparkSession, d: str) -> DataFrame:
-    idx = linear_index(spark, d)
+    idx = linear_index(spark, d).stored()
     return ix.rarest_terms(idx.postings, idx.document_frequency(), 5)
 
 

@@ -52,9 +52,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most limit rows; counts no further than that."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast if it has at most limit rows; otherwise return it as it is, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if fits(df, limit) else df
+
+
+def hinted(df: DataFrame, broadcast: bool) -> DataFrame:
+    """df, marked for broadcast if a size that bounds its own has been checked."""
+    return F.broadcast(df) if broadcast else df
 
 
 def salted_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
@@ -63,7 +73,7 @@ def salted_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left",
     A lookup of at most BROADCAST_ROWS rows is broadcast. Beyond it each lookup row is repeated once a salt and the
     big side's rows are spread over the salts by their whole content, so that one hot key is shared by `salts` tasks.
     """
-    if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits(lookup):
         return big.join(F.broadcast(lookup), key, how)
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     many = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
