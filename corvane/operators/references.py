@@ -77,7 +77,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     references and parent rows count once. Extra parent rows of one key, however many, meet a window by key and month.
     """
     far_past, far_future = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"), F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
-    refs = refs.where("ref_value is not null").withColumn("at", F.col("at").cast("timestamp_ntz")).distinct()
+    refs = refs.where("ref_value is not null").select("kind", "ref_table", "ref_field", "ref_key", "ref_value", F.col("at").cast("timestamp_ntz").alias("at")).distinct()
     parents = (
         parents.where("key is not null")
         .select("kind", "key", F.coalesce(F.col("start").cast("timestamp_ntz"), far_past).alias("start"), F.coalesce(F.col("stop").cast("timestamp_ntz"), far_future).alias("stop"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import corpus_queries, eval_queries, rank_queries, text_queries
+from corvane.plans import corpus_queries, eval_queries, rank_queries, run_queries, text_queries
 
-_MODULES = (corpus_queries, text_queries, rank_queries, eval_queries)
+_MODULES = (corpus_queries, text_queries, rank_queries, eval_queries, run_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
