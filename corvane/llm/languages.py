@@ -34,17 +34,16 @@ WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _FENCE = re.compile(r"^\s{0,3}(```+|~~~+)")
 _MARKER = re.compile(r"^\s*(?:>\s*)*(?:[-*+•]\s+|\d+[.)]\s+|>\s*)?(?:\[[ xX]\]\s+)?")
 _LIST = re.compile(r"^\s*(?:[-*+•]\s|\d+[.)]\s|>)")
-_TABLE = re.compile(r"^\s*\|")
 _HEADING = re.compile(r"^\s{0,3}#{1,6}(?:\s|$)")
 _RULE = re.compile(r"^\s*(?:-{3,}|={3,}|\*{3,}|_{3,})\s*$")
 _INDENTED = re.compile(r"^(?: {4}|\t)")
 _CODE_LINE = re.compile(r"^\s*(?:\$ \S|\[\d\d:\d\d|\"[^\"]*\":|(?:const|let|var|def|import|from|return|class|function)\b.*[;=({:]|[\w.\[\]]+\s*[-+*/]?=\s)|[;{}]\s*$")
-_LONG = re.compile(r"\S{60,}")
-_INLINE = re.compile(r"`[^`\n]{0,400}`|!\[[^\]\n]{0,200}\]\([^)\s]{0,400}\)|\]\([^)\s]{0,400}\)|https?://\S+|[^\s@]{1,64}@\S{1,64}|<[^<>\n]{1,200}>")
+_LONG = re.compile(r"(?<!\S)\S{60,}")
+_CODE = re.compile(r"`[^`\n]{0,400}`")
+_ADDRESS = re.compile(r"!\[[^\]\n]{0,200}\]\([^)\s]{0,400}\)|\]\([^)\s]{0,400}\)|https?://\S+|[^\s@]{1,64}@\S{1,64}|<[^<>\n]{1,200}>")
 _ODD = re.compile("[​‌‍⁠﻿­]")
 _BREAK = re.compile("\r\n|[\r  \x85\x0b\x0c]")
-_SENTENCE = re.compile(r"[^.!?…。]*(?:[.!?…。](?![\s\"'»”’)\]*_]|$)[^.!?…。]*)*(?:[.!?…。]+[\"'»”’)\]*_]*|$)")
-_ENDS = re.compile(r"[.!?…。][\"'»”’)\]*_\s]*$")
+_END = re.compile(r"[.!?…]+[\"'»”’)\]*_]*(?=\s|$)|。+")
 
 
 def prose_blocks(text: str) -> list[str]:
@@ -53,20 +52,24 @@ def prose_blocks(text: str) -> list[str]:
     blocks: list[list[str]] = []
     fence, fresh = "", True
     for line in text.split("\n"):
+        bare = line.lstrip()
+        first = bare[:1]
         if fence:
-            if line.lstrip().startswith(fence):
+            if bare.startswith(fence):
                 fence = ""
             fresh = True
             continue
-        if m := _FENCE.match(line):
+        if first in "`~" and (m := _FENCE.match(line)):
             fence, fresh = m.group(1)[:3], True
             continue
-        if not line.strip() or _TABLE.match(line) or _HEADING.match(line) or _RULE.match(line) or _CODE_LINE.search(line):
-            fresh = True
+        if first in "|#-=*_" and (first in "|" or _HEADING.match(line) or _RULE.match(line)) or (first in '$["' or "=" in line or bare.rstrip()[-1:] in ";{}(:") and _CODE_LINE.search(line):
+            fresh = True  # also a blank line, whose first character is empty
             continue
-        if fresh and _INDENTED.match(line) and not _LIST.match(line):
+        listed = first in "-*+•>" or first.isdigit()
+        listed = listed and _LIST.match(line) is not None
+        if fresh and not listed and _INDENTED.match(line):
             continue  # an indented code block
-        if fresh or _LIST.match(line):
+        if fresh or listed:
             blocks.append([])
             line = line[_MARKER.match(line).end() :]
         blocks[-1].append(line)
@@ -74,10 +77,25 @@ def prose_blocks(text: str) -> list[str]:
     return [" ".join(b) for b in blocks]
 
 
+def plain_prose(block: str) -> str:
+    """A block without inline code, addresses, tags and unbroken strings."""
+    block = _LONG.sub(" ", block)
+    if "`" in block:
+        block = _CODE.sub(" ", block)
+    if "](" in block or "://" in block or "@" in block or "<" in block:
+        block = _ADDRESS.sub(" ", block)
+    return block
+
+
 def sentences(block: str) -> list[tuple[str, bool]]:
-    """The sentences of a block and whether each has an end mark; inline code and addresses are left out."""
-    plain = _INLINE.sub(" ", _LONG.sub(" ", block))
-    return [(s, bool(_ENDS.search(s))) for s in _SENTENCE.findall(plain) if s and not s.isspace()]
+    """The sentences of a block's plain prose and whether each has an end mark."""
+    plain, out, start = plain_prose(block), [], 0
+    for m in _END.finditer(plain):
+        out.append((plain[start : m.end()], True))
+        start = m.end()
+    if not plain[start:].isspace() and start < len(plain):
+        out.append((plain[start:], False))
+    return out
 
 
 class TextModel:
