@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import cut, ensure_checkpoint_dir, small
+from corvane.session import cut, ensure_checkpoint_dir, salted_join, small
 
 BITS = 128
 BANDS = 22
 BAND_ROWS = 4
 BUDGET = 38
-#: Rows of one band bucket that one task joins; a larger bucket is cut into blocks, joined block pair by block pair.
+#: Rows of one band bucket that one task joins; a larger bucket is cut into blocks, which are joined pair by pair.
 BLOCK = 4_000
 #: Node pairs that are held in memory at once while two tries are traversed.
 FRONTIER = 400_000
@@ -207,15 +207,20 @@ def _cross(start_a: np.ndarray, n_a: np.ndarray, start_b: np.ndarray, n_b: np.nd
     return np.repeat(start_a, total) + at // nb, np.repeat(start_b, total) + at % nb
 
 
-def _join_partition(budget: int):
-    """Join the tries of a partition that is sorted by (key, block_a, block_b); a trie may stretch over batches."""
+_JOINED = "key_a long, key_b long, grp long, set_key long, bits binary"
 
-    def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows)
-        group = t.column("grp").to_numpy()
-        ids = t.column("set_key").to_numpy()
+
+def _join_partition(budget: int, block: int | None):
+    """Join the tries of a partition that is sorted by key; a trie may stretch over batches.
+
+    Yields pairs (key_a, key_b). A key of more than `block` rows is not joined here: its rows come out as (grp, set_key, bits), to be cut
+    into blocks; at most block + one batch of rows are held.
+    """
+    names = ["key_a", "key_b", "grp", "set_key", "bits"]
+
+    def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        group, ids, sides = (t.column(c).to_numpy() for c in ("grp", "set_key", "side"))
         bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), ">u2").reshape(-1, BITS // 16).astype(np.uint16)
-        sides = t.column("side").to_numpy()
         crossing = sides >= 0  # rows of two blocks: only pairs between the blocks
         for part, side in ((~crossing, None), (crossing, sides)):
             at = np.flatnonzero(part)
@@ -223,28 +228,61 @@ def _join_partition(budget: int):
                 continue
             i, j = trie_join(group[at], bits[at], budget, None if side is None else side[at])
             a, b = ids[at[i]], ids[at[j]]
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            if len(lo):
-                pairs = np.unique(np.stack([lo, hi], 1), axis=0)
+            if len(a):
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 for k in range(0, len(pairs), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 100_000, 0]), pa.array(pairs[k : k + 100_000, 1])], ["key_a", "key_b"])
+                    p = pairs[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.binary())], names)
+
+    def hot(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in t.combine_chunks().to_batches():
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), b.column("grp"), b.column("set_key"), b.column("bits")], names)
+
+    def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All of t's keys are complete."""
+        if block is not None:
+            group = t.column("grp").to_numpy()
+            edges = _runs(group)
+            sizes = np.diff(np.append(edges, len(group)))
+            if (sizes > block).any():
+                large = np.repeat(sizes > block, sizes)
+                yield from hot(t.filter(pa.array(large)))
+                t = t.filter(pa.array(~large))
+        yield from pairs_of(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        passing: int | None = None  # a key that is known to be hot and still goes on
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             held.append(batch)
             if sum(b.num_rows for b in held) < 50_000:
                 continue
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            g = whole.column(0).to_numpy()
-            cut_at = int(np.searchsorted(g, g[-1], "left"))  # the last trie may go on in the next batch
-            if cut_at:
-                yield from flush([whole.slice(0, cut_at)])
-            held = [whole.slice(cut_at)]
+            t = pa.Table.from_batches(held)
+            g = t.column("grp").to_numpy()
+            last = int(g[-1])
+            if passing is not None:
+                n = int(np.searchsorted(g, passing, "right"))
+                yield from hot(t.slice(0, n))
+                t, g = t.slice(n), g[n:]
+                passing = passing if len(g) == 0 else None
+            at = int(np.searchsorted(g, last, "left")) if len(g) else 0  # the last key may go on in the next batch
+            if at:
+                yield from flush(t.slice(0, at))
+            t = t.slice(at)
+            if block is not None and t.num_rows > block:
+                yield from hot(t)
+                passing, t = last, t.slice(t.num_rows)
+            held = t.combine_chunks().to_batches()
         if held:
-            yield from flush(held)
+            t = pa.Table.from_batches(held)
+            if passing is not None:
+                n = int(np.searchsorted(t.column("grp").to_numpy(), passing, "right"))
+                yield from hot(t.slice(0, n))
+                t = t.slice(n)
+            yield from flush(t)
 
     return run
 
@@ -252,20 +290,19 @@ def _join_partition(budget: int):
 def candidate_pairs(sketches: DataFrame, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
     """Distinct (key_a, key_b), key_a < key_b, of the sketches whose tries meet within the error budget.
 
-    sketches: one row a set_key with band_keys and bits. Buckets of more than `block` rows, which are found by a
-    pre-aggregated count, are cut into blocks; a row then goes to each of the block pairs it belongs to, and no task gets more
-    than two blocks. Nothing is capped: each pair of blocks is joined.
+    sketches: one row a set_key with band_keys and bits. A bucket of more than `block` rows passes its task unjoined; it is cut into
+    blocks, each row goes to each of the block pairs it belongs to, and no task gets more than two blocks of it. Nothing
+    is capped: each pair of blocks is joined.
     """
-    rows = sketches.select("set_key", "bits", F.explode("band_keys").alias("grp"))
-    hot = cut(rows.groupBy("grp").count().where(F.col("count") > block))
-    plain = rows.select("grp", "set_key", "bits", F.lit(-1).alias("side"))
-    if hot.limit(1).count():
-        n_blocks = F.ceil(F.col("count") / block).cast("int")
-        plain = plain.join(hot, "grp", "left_anti").select("grp", "set_key", "bits", "side")
-        own = F.pmod(F.xxhash64("set_key"), F.col("n")).cast("int")
+    rows = sketches.select(F.explode("band_keys").alias("grp"), "set_key", "bits", F.lit(-1).alias("side"))
+    joined = cut(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_join_partition(budget, block), _JOINED))
+    pairs = joined.where("key_a is not null").select("key_a", "key_b")
+    hot = joined.where("grp is not null").select("grp", "set_key", "bits")
+    sizes = cut(hot.groupBy("grp").count())
+    if sizes.limit(1).count():
         split = (
-            rows.join(hot.withColumn("n", n_blocks), "grp")
-            .withColumn("own", own)
+            salted_join(hot, sizes.select("grp", F.ceil(F.col("count") / block).cast("int").alias("n")), "grp", "inner")
+            .withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("n")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
             .select(
                 F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"),
@@ -274,9 +311,9 @@ def candidate_pairs(sketches: DataFrame, budget: int = BUDGET, block: int = BLOC
                 F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
             )
         )
-        plain = plain.unionByName(split)
-    sorted_rows = plain.repartition("grp").sortWithinPartitions("grp")
-    return sorted_rows.mapInArrow(_join_partition(budget), "key_a long, key_b long").distinct()
+        more = split.repartition("grp").sortWithinPartitions("grp").mapInArrow(_join_partition(budget, None), _JOINED)
+        pairs = pairs.unionByName(more.select("key_a", "key_b"))
+    return pairs.distinct()
 
 
 def _shingle_rows(words: int):
@@ -316,7 +353,7 @@ def near_duplicate_links(records: DataFrame, id_col: str, text_col: str, thresho
     ensure_checkpoint_dir(records.sparkSession)
     signed = cut(signatures(records, id_col, text_col, words))
     members = signed.select("rec_id", "set_key").distinct()
-    sketches = signed.groupBy("set_key").agg(F.min("rec_id").alias("rep_id"), F.any_value("band_keys").alias("band_keys"), F.any_value("bits").alias("bits"))
+    sketches = cut(signed.groupBy("set_key").agg(F.min("rec_id").alias("rep_id"), F.any_value("band_keys").alias("band_keys"), F.any_value("bits").alias("bits")))
     pairs = cut(candidate_pairs(sketches, budget))
     wanted = pairs.select(F.explode(F.array("key_a", "key_b")).alias("set_key")).distinct()
     reps = cut(wanted.join(sketches.select("set_key", "rep_id"), "set_key"))

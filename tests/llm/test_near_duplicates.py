@@ -118,3 +118,27 @@ def test_recall_over_likeness(spark):
     want = brute(rows, 3, 0.7)
     found, _, _ = pairs(spark, rows)
     assert found <= want and len(found) >= 0.99 * len(want)
+
+
+def test_stream_passes_hot_keys_over_many_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    keys = np.sort(np.concatenate([np.full(130_000, 50), rng.integers(0, 100, 60_000), np.full(3, 200)]))
+    sets = np.arange(len(keys))
+    blob = [rng.bytes(16) for _ in range(len(keys))]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(keys[i : i + 9_000]), pa.array(sets[i : i + 9_000]), pa.array(blob[i : i + 9_000]), pa.array(np.full(len(keys[i : i + 9_000]), -1, np.int32))], ["grp", "set_key", "bits", "side"])
+        for i in range(0, len(keys), 9_000)
+    ]
+    out = pa.Table.from_batches(list(nd._join_partition(30, 1_000)(iter(batches)))).to_pandas()
+    hot = out[out.grp.notna()]
+    assert sorted(hot.set_key.astype(int)) == sets[keys == 50].tolist()
+    pairs = out[out.key_a.notna()]
+    want = 0
+    for k in [*range(100), 200]:
+        if k != 50:
+            at = np.flatnonzero(keys == k)
+            i, _ = nd.trie_join(np.zeros(len(at), np.int64), np.frombuffer(b"".join(blob[x] for x in at), ">u2").reshape(-1, 8).astype(np.uint16), 30)
+            want += len(i)
+    assert len(pairs) == want
