@@ -52,6 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over all cores where its files give work to fewer than half of them, as one small file does; else the scan as it is.
+
+    For plain scans only: their number of tasks is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() < cores else scan
+
+
 def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most limit rows; counts no further than that."""
     return df.limit(limit + 1).count() <= limit
