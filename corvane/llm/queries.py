@@ -8,11 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import answer_defects, languages, mixing, near_duplicates, packing, splitting, tokens
-from corvane.session import cut, table
+from corvane.session import cut, spread, table
+
+
+def texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """The given columns of a table of texts, over all cores."""
+    return spread(table(spark, d, name).select(*columns))
+
+
+DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "source_path", "x_domain")
+ENRICHMENT_COLUMNS = ("record_no", "short_desc", "long_desc", "keywords", "questions")
 
 
 def _p1_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    atoms = table(spark, d, "atoms").where(F.length("body") >= 200)
+    atoms = texts(spark, d, "atoms", "atom_id", "body").where(F.length("body") >= 200)
     return near_duplicates.near_duplicate_links(atoms, "atom_id", "body", threshold=0.7, words=3)
 
 
@@ -27,12 +36,12 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.token_budget(table(spark, d, "documents"), table(spark, d, "atoms"), table(spark, d, "lang_codes"))
+    return tokens.token_budget(texts(spark, d, "documents", *DOCUMENT_COLUMNS), texts(spark, d, "atoms", "atom_id", "body", "sources", "x_domain", "atom_type", "ingested_at", "removed_at"), table(spark, d, "lang_codes"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    model = languages.fit_text_model(table(spark, d, "documents"), table(spark, d, "lang_codes"))
-    return answer_defects.answer_defects(table(spark, d, "enrichment"), model)
+    model = languages.fit_text_model(texts(spark, d, "documents", "doc_id", "text", "lang"), table(spark, d, "lang_codes"))
+    return answer_defects.answer_defects(texts(spark, d, "enrichment", *ENRICHMENT_COLUMNS), model)
 
 
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -49,12 +58,12 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("_text"))
+    docs = texts(spark, d, "documents", "doc_id", "text").withColumnRenamed("text", "_text")
     return packing.pack(tokens.with_token_counts(docs, F.col("_text")), "doc_id", "n_tokens")
 
 
 def _p7_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sized = mixing.sized_documents(table(spark, d, "documents"), tokens.TOKENIZER)
+    sized = mixing.sized_documents(texts(spark, d, "documents", "doc_id", "source", "text"), tokens.TOKENIZER)
     rates = cut(mixing.source_rates(sized, table(spark, d, "mix_targets")))
     return mixing.mix(sized, rates, "doc_id"), rates
 
@@ -68,16 +77,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return languages.language_cases(languages.detect_languages(table(spark, d, "documents"), table(spark, d, "lang_codes")))
+    return languages.language_cases(languages.detect_languages(texts(spark, d, "documents", *DOCUMENT_COLUMNS), table(spark, d, "lang_codes")))
 
 
 def p8_languages(spark: SparkSession, d: str) -> DataFrame:
-    found = languages.detect_languages(table(spark, d, "documents"), table(spark, d, "lang_codes"))
+    found = languages.detect_languages(texts(spark, d, "documents", *DOCUMENT_COLUMNS), table(spark, d, "lang_codes"))
     return found.select("doc_id", "lang", "confidence", "n_words")
 
 
 def p8_segments(spark: SparkSession, d: str) -> DataFrame:
-    found = languages.detect_languages(table(spark, d, "documents"), table(spark, d, "lang_codes"))
+    found = languages.detect_languages(texts(spark, d, "documents", *DOCUMENT_COLUMNS), table(spark, d, "lang_codes"))
     return found.select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.start", "s.stop", "s.n_words", "s.lang", "s.confidence")
 
 
