@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.session import small
+
 #: The rank constant, the shipped weight of the rerank leg, and the depth of a fused leg.
 RRF_K = 20
 RERANK_WEIGHT = 0.75
@@ -52,7 +54,7 @@ def fuse_many(legs: DataFrame, weights: DataFrame, k: int = RRF_K, depth: int =
 
     legs: (leg, query_id, atom_id, rank), weights: (fusion, leg, weight), a small table. Each leg counts down to depth, and a fused list is cut there.
     """
-    scored = legs.where(F.col("rank") <= depth).join(F.broadcast(weights), "leg").groupBy("fusion", "query_id", "atom_id").agg(F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 12).alias("score"))
+    scored = legs.where(F.col("rank") <= depth).join(small(weights), "leg").groupBy("fusion", "query_id", "atom_id").agg(F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 12).alias("score"))
     w = Window.partitionBy("fusion", "query_id").orderBy(F.desc("score"), "atom_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
 

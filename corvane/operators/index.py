@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions import text as tx
-from corvane.session import cut
+from corvane.session import cut, small
 
 #: The indexed text columns in their order.
 COLUMNS = ("body", "short", "long", "doc_desc", "keywords", "entities", "questions")
@@ -93,7 +93,7 @@ class Index:
 
     def document_frequency(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, df), of the given distinct terms only if there are any: counted in each task before the shuffle."""
-        rows = self.postings if terms is None else self.postings.join(F.broadcast(terms), "term", "left_semi")
+        rows = self.postings if terms is None else self.postings.join(small(terms), "term", "left_semi")
         return rows.groupBy("term").agg(F.count("*").alias("df"))
 
     def stored(self) -> Index:

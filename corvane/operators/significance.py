@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.session import small
+
 # Iterations, tie tolerance, seeds and stride of the generator.
 ITERATIONS = 10_000
 TIE_EPSILON = 1e-12
@@ -48,24 +50,26 @@ def paired_differences(previous: DataFrame, latest: DataFrame, metric: str) -> D
     return both.select("query_id", (F.row_number().over(Window.orderBy("query_id")) - 1).alias("topic"), (F.col("b") - F.col("a")).alias("diff"))  # one row a topic of one evaluation
 
 
+def _draws(differences: DataFrame, iterations: int) -> DataFrame:
+    """Each topic once an iteration, spread over tasks by topic."""
+    return differences.repartition("topic").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+
+
 def permutation_test(differences: DataFrame, iterations: int = ITERATIONS, seed: int = PERMUTATION_SEED) -> DataFrame:
     """One row: topics, mean_difference, p_value = (as extreme + 1) / (iterations + 1)."""
-    spark = differences.sparkSession
-    stats = differences.agg(F.count("*").alias("topics"), F.avg("diff").alias("mean_difference"))
-    draws = spark.range(iterations).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(differences)).crossJoin(F.broadcast(stats))
-    flipped = F.when(unit_random(seed, F.col("iteration") * F.col("topics") + F.col("topic")) < 0.5, -F.col("diff")).otherwise(F.col("diff"))
-    means = draws.groupBy("iteration", "topics", "mean_difference").agg((F.sum(flipped) / F.col("topics")).alias("m"))
-    extreme = F.count_if(F.abs("m") >= F.abs("mean_difference") - TIE_EPSILON)
-    return means.groupBy("topics", "mean_difference").agg(((extreme + 1) / F.lit(iterations + 1)).alias("p_value"))
+    stats = differences.agg(F.count("*").alias("topics"), F.avg("diff").alias("mean_difference")).first()  # one row
+    topics, mean = F.lit(stats.topics), F.lit(stats.mean_difference)
+    flipped = F.when(unit_random(seed, F.col("iteration") * topics + F.col("topic")) < 0.5, -F.col("diff")).otherwise(F.col("diff"))
+    means = _draws(differences, iterations).groupBy("iteration").agg((F.sum(flipped) / topics).alias("m"))
+    extreme = F.count_if(F.abs("m") >= F.abs(mean) - TIE_EPSILON)
+    return means.agg(topics.alias("topics"), mean.alias("mean_difference"), ((extreme + 1) / F.lit(iterations + 1)).alias("p_value"))
 
 
 def bootstrap_interval(differences: DataFrame, iterations: int = ITERATIONS, seed: int = BOOTSTRAP_SEED, alpha: float = ALPHA) -> DataFrame:
     """One row: ci_low, ci_high, the means of resampled topics at round(q (n - 1)) of their order."""
-    spark = differences.sparkSession
     n = F.lit(differences.count())
-    slots = spark.range(iterations).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(differences.select("topic")))
     pick = F.least(n - 1, F.floor(unit_random(seed, F.col("iteration") * n + F.col("topic")) * n)).cast("int")
-    drawn = slots.select("iteration", pick.alias("topic")).join(F.broadcast(differences.select("topic", "diff")), "topic")
+    drawn = _draws(differences, iterations).select("iteration", pick.alias("topic")).join(small(differences.select("topic", "diff")), "topic")
     means = drawn.groupBy("iteration").agg((F.sum("diff") / n).alias("m"))
     order = means.agg(F.sort_array(F.collect_list("m")).alias("ms"))  # `iterations` numbers
     at = lambda q: F.element_at("ms", F.lit(int(q * (iterations - 1) + 0.5) + 1))

@@ -83,7 +83,8 @@ def test_document_sums_need_no_shuffle(spark, corpus):
 def test_dense_search(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [1.0])], "vec_id long, embedding array<double>")
     q = spark.createDataFrame([("a", [2.0, 0.0]), ("b", None), ("c", [0.0, 0.0])], "query_id string, embedding array<double>")
-    assert [(r.query_id, r.vec_id, r.rank) for r in rk.dense_knn(vectors, q, 2, block=1).orderBy("rank").collect()] == [("a", 1, 1), ("a", 2, 2)]
+    assert [(r.query_id, r.vec_id, r.rank) for r in rk.dense_knn(vectors, q, 2, block=1, vector_block=2).orderBy("rank").collect()] == [("a", 1, 1), ("a", 2, 2)]
+    assert [(r.query_id, r.vec_id, r.rank) for r in rk.dense_knn(vectors, q, 2, block=10).orderBy("rank").collect()] == [("a", 1, 1), ("a", 2, 2)]
     assert rk.dense_knn(vectors.limit(0), q, 2).count() == 0 and rk.dense_knn(vectors, q.limit(0), 2).count() == 0
 
 
@@ -94,3 +95,17 @@ def test_search(spark, corpus, ranker):
     assert {r.atom_id for r in got} <= {"bbb", "ccc"} and len(got) >= 1
     with pytest.raises(ValueError):
         search(queries(spark, "x"), corpus, SearchRequest(domains=[]))
+
+
+def test_dense_search_in_blocks_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(300, 8))
+    m[7] = m[3]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    n = m / np.linalg.norm(m, axis=1)[:, None]
+    want = {(i, j) for i in range(0, 300, 20) for j in sorted(range(300), key=lambda j: (-round(float(n[i] @ n[j]), 9), j))[:5]}
+    for kw in ({}, {"block": 4, "vector_block": 50}):
+        assert {(r.query_id, r.vec_id) for r in rk.dense_knn(v, q, 5, **kw).collect()} == want
