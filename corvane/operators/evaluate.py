@@ -147,6 +147,22 @@ def gold_audit(qrels: DataFrame, corpus: DataFrame, represented: DataFrame) -> D
     return a.crossJoin(b).crossJoin(c)  # three rows of one
 
 
+def soundness(documents: DataFrame, represented: DataFrame, least: float = 0.9) -> DataFrame:
+    """One row: documents, represented, share, sound. Sound is an ingest that made atoms of at least this share of the documents."""
+    marked = documents.select("doc_id").distinct().join(represented.select("doc_id").distinct().withColumn("there", F.lit(1)), "doc_id", "left")
+    out = marked.agg(F.count("*").alias("documents"), F.count("there").alias("represented"))
+    share = F.coalesce(F.try_divide(F.col("represented").cast("double"), F.col("documents")), F.lit(0.0))
+    return out.withColumn("share", F.round(share, 9)).withColumn("sound", (share >= least) & (F.col("represented") > 0))
+
+
+def duplicate_links(deduped: DataFrame) -> DataFrame:
+    """(doc_id, survivor): documents that lost all their atoms as copies, and the document of the first surviving one. deduped: from ingest.dedupe_bodies()."""
+    kept = deduped.where("survivor_id = atom_id").select(F.col("atom_id").alias("survivor_id"), F.col("document").alias("survivor"))
+    alive = kept.select(F.col("survivor").alias("document")).distinct()
+    gone = deduped.where("survivor_id <> atom_id").join(alive, "document", "left_anti")
+    return gone.join(kept, "survivor_id").groupBy(F.col("document").alias("doc_id")).agg(F.min_by("survivor", "atom_id").alias("survivor"))
+
+
 def repoint(qrels: DataFrame, links: DataFrame) -> DataFrame:
     """Judgments of dropped duplicates moved to the survivor; two judgments that meet keep the greater grade. links: (doc_id, survivor)."""
     return qrels.join(links, "doc_id", "left").groupBy("query_id", F.coalesce("survivor", "doc_id").alias("doc_id")).agg(F.max("grade").alias("grade"))

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from corvane.api import SearchRequest, search
 from corvane.functions import text as tx
+from corvane.operators import chunking, evaluate, rank, runs
 from corvane.operators import index as ix
-from corvane.operators import runs
 from corvane.plans import sql
-from corvane.plans.eval_queries import _RUNS, run_rankings
+from corvane.plans.eval_queries import _QRELS, _RUNS, qrels, run_rankings
 from corvane.plans.rank_queries import corpus, queries_of
+from corvane.plans.text_queries import _DEDUPE, _deduped
 from corvane.session import table
 from corvane.sources import evaluation, markdown
 
@@ -69,13 +70,35 @@ def e38_build_health(spark, d):
     return runs.build_health(census, F.col("merged"), F.lit(0), F.lit(1)).select("merged", F.round("echo_rate", 9).alias("echo_rate"), "failed")
 
 
+def r6_identifier_disjuncts(spark, d):
+    """Disjuncts of the probes' and golden queries' chunks and of the atoms' code spans, which are full of identifiers."""
+    spans = corpus(spark, d).select(F.col("atom_id").alias("query_id"), F.array_join(F.regexp_extract_all("body", F.lit("`([^`\\s]+)`"), 1), " ").alias("query_text"))
+    return rank.identifier_disjuncts(queries_of(spark, d).unionByName(spans)).select("query_id", "disjunct", F.array_join("terms", " ").alias("terms"))
+
+
+def e23_soundness(spark, d):
+    docs = table(spark, d, "documents").where("source_path is not null").select(F.col("source_path").alias("doc_id"), "text")
+    made = chunking.chunk_documents(docs, "text", ["doc_id"]).where("trim(body) <> ''")
+    return evaluate.soundness(docs, made)
+
+
+def e37_duplicate_links(spark, d):
+    return evaluate.duplicate_links(_deduped(spark, d))
+
+
+def e36_repointed_qrels(spark, d):
+    """Judgments of atoms moved to the atom that stands for their body."""
+    links = _deduped(spark, d).where("survivor_id <> atom_id").select(F.lower("atom_id").alias("doc_id"), F.lower("survivor_id").alias("survivor"))
+    return evaluate.repoint(qrels(spark, d), links)
+
+
 def search_delivered(spark, d):
     """The whole pipeline for every query: score, filter, cap, order, fit the budget."""
     request = SearchRequest(k=8, ranker="body", analyzer="nostem-fold", domains=["docs", "runner", "standards"], budget=12_000, as_of="2025-06-30")
     return search(queries_of(spark, d), corpus(spark, d), request).select("query_id", "atom_id", "document", "rank", "place", "score")
 
 
-QUERIES = {f.__name__: f for f in (s7_atom_files, s14_golden_dataset, s16_materialised, s18_trec_roundtrip, e25_provenance_diff, w12_manifest_deltas, e29_enrichment_quality, e29_quality_gate, e38_build_health, search_delivered)}
+QUERIES = {f.__name__: f for f in (s7_atom_files, s14_golden_dataset, s16_materialised, s18_trec_roundtrip, e25_provenance_diff, w12_manifest_deltas, e29_enrichment_quality, e29_quality_gate, e38_build_health, r6_identifier_disjuncts, e23_soundness, e36_repointed_qrels, e37_duplicate_links, search_delivered)}
 
 _M = "m AS (SELECT DISTINCT profile AS dataset, built_at AS run_at, atom_count, skipped, duplicates, digest FROM corpus_manifest)"
 _DIFF = lambda f, c, kind: f"SELECT dataset, run_at, '{f}' AS field, '{kind}' AS kind, lag({c}) OVER w AS before, {c} AS after, row_number() OVER w AS n FROM m WINDOW w AS (PARTITION BY dataset ORDER BY run_at)"
@@ -96,4 +119,10 @@ ORACLES = {
         len(list_filter({_KWL}, lambda k: len(list_filter({sql.tok('k')}, lambda t: list_contains(bt, t))) = 0)) AS strict_novel, len(list_filter({_KWL}, lambda k: len(list_filter({sql.tok('k')}, lambda t: NOT list_contains(bt, t))) > 0)) AS partial_novel, len({_KWL}) AS n_keywords
         FROM (SELECT enr.*, {sql.tok('body')} AS bt FROM enr JOIN corpus USING (atom_id))""",
     "e38_build_health": sql.base(sql.CORPUS, sql.ENRICH) + f"SELECT count(*) AS merged, round(sum(dropped) / nullif(sum(n), 0), 9) AS echo_rate, count(*) = 0 AS failed FROM (SELECT len(list_filter({_KWL}, lambda k: len(list_filter({sql.tok('k')}, lambda t: NOT list_contains(bt, t))) = 0)) AS dropped, len({_KWL}) AS n FROM (SELECT keywords, {sql.tok('body')} AS bt FROM enr JOIN corpus USING (atom_id)))",
+    "r6_identifier_disjuncts": sql.base(sql.CORPUS, sql.QUERIES, "asked AS (SELECT query_id, query_text FROM queries UNION ALL SELECT atom_id, array_to_string(regexp_extract_all(body, '`([^`\\s]+)`', 1), ' ') FROM corpus)",
+        "raws AS (SELECT query_id, i - 1 AS chunk, raw[i] AS raw FROM (SELECT query_id, raw, unnest(range(1, len(raw) + 1)) AS i FROM (SELECT query_id, list_filter(regexp_split_to_array(coalesce(query_text, ''), '\\s+'), lambda x: x <> '') AS raw FROM asked)))",
+        f"parts AS (SELECT query_id, chunk, raw, {sql.tok('raw')} AS ts, regexp_replace(regexp_replace(replace(strip_accents(lower(raw)), '@', 'at'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS whole FROM raws)",
+    ) + "SELECT query_id, chunk || '.p' AS disjunct, array_to_string(ts, ' ') AS terms FROM parts WHERE len(ts) > 0 UNION ALL SELECT query_id, chunk || '.w', whole FROM parts WHERE regexp_matches(raw, '[a-zA-Z0-9][/:_.-]+[a-zA-Z0-9]|[a-z][A-Z]') AND whole <> '' AND NOT (len(ts) = 1 AND ts[1] = whole)",
+    "e36_repointed_qrels": sql.base(sql.CORPUS, _DEDUPE, _QRELS) + "SELECT query_id, coalesce(s, doc_id) AS doc_id, max(grade) AS grade FROM qrels LEFT JOIN (SELECT lower(atom_id) AS doc_id, lower(survivor_id) AS s FROM deduped WHERE survivor_id <> atom_id) USING (doc_id) GROUP BY 1, 2",
+    "e37_duplicate_links": sql.base(sql.CORPUS, _DEDUPE, "kept AS (SELECT atom_id AS survivor_id, document AS survivor FROM deduped WHERE survivor_id = atom_id)") + "SELECT document AS doc_id, arg_min(survivor, deduped.atom_id) AS survivor FROM deduped JOIN kept USING (survivor_id) WHERE deduped.survivor_id <> deduped.atom_id AND document NOT IN (SELECT survivor FROM kept) GROUP BY 1",
 }
