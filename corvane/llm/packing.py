@@ -64,6 +64,9 @@ def _pack(capacity: int, windows: int, label: str):
         for batch in batches:
             out = []
             for item, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if size <= 0:  # needs no room
+                    out.append((item, 0, size, None, None, None))
+                    continue
                 whole, rest = divmod(size, capacity)
                 for piece in range(whole):  # an item beyond the capacity: full containers of its own, then the rest
                     out.append((item, piece, capacity, f"{prefix}{fit.made}", 0, 0))
@@ -96,8 +99,8 @@ def pack(items: DataFrame, item_col: str, size_col: str, capacity: int = CAPACIT
     if capacity < 1 or open_windows < 1 or fan_in < 2:
         raise ValueError("capacity and open_windows must be positive, fan_in at least 2")
     sized = items.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"))
-    placed = cut(sized.where("size > 0").mapInArrow(_pack(capacity, open_windows, "c"), _SCHEMA))
-    first = placed.where("left_box is null").drop("left_box")
+    placed = cut(sized.mapInArrow(_pack(capacity, open_windows, "c"), _SCHEMA))
+    first = placed.where("box is not null").drop("left_box")
     fills = first.groupBy("box").agg(F.sum("size").alias("fill"))
     left = cut(placed.where("left_box is not null").select("left_box").join(fills, F.col("left_box") == F.col("box")).select("box", "fill"))
     moves = None  # box -> (target, offsets); one table a round, each over the boxes left by the round before
@@ -124,5 +127,5 @@ def pack(items: DataFrame, item_col: str, size_col: str, capacity: int = CAPACIT
         first = first.select("item", "piece", "size", F.col("box").alias("container"), "start")
     inside = Window.partitionBy("container")  # a container holds at most `capacity` pieces
     full = first.select("item", "piece", "size", "container", (F.row_number().over(inside.orderBy("start")) - 1).cast("long").alias("position"), "start", (F.sum("size").over(inside) / F.lit(float(capacity))).alias("fill"))
-    none = sized.where("size <= 0").select("item", F.lit(0).cast("long").alias("piece"), "size", F.lit(None).cast("string").alias("container"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("double").alias("fill"))
+    none = placed.where("box is null and left_box is null").select("item", "piece", "size", F.lit(None).cast("string").alias("container"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("double").alias("fill"))
     return full.unionByName(none)
