@@ -1,7 +1,7 @@
 """Near-duplicate records by a binary trie self-join over Hamming fingerprints.
 
 Every distinct text gets a 128-bit fingerprint whose bits agree with probability (1 + J) / 2 for two texts of shingle
-likeness J: bit i is the lowest bit of the i-th min-hash. All texts stand in binary tries. A trie's upper levels, which
+likeness J: bit i is one bit of the mixed i-th min-hash. All texts stand in binary tries. A trie's upper levels, which
 must agree exactly, are one band of min-hashes and serve as the shuffle key; below them the trie over the 128 bits is
 joined with itself: pairs of nodes go down together, differing bits are added up, and a pair is dropped once they
 exceed the error budget. Texts meet if any of BANDS bands agrees. The pairs that reach the leaves are checked exactly.
@@ -46,26 +46,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Turns texts into sorted arrays of distinct 64-bit shingle hashes; remembers the hashes of frequent words."""
+    """Turns texts into sorted arrays of distinct 64-bit shingle hashes; remembers the hashes of up to WORDS words."""
+
+    WORDS = 300_000
 
     def __init__(self, words: int) -> None:
-        self.words, self.seen = words, {}
+        self.words, self.seen, self.table = words, {}, np.empty(4_096, np.uint64)
 
-    def _word_hash(self, word: str) -> int:
+    def _number(self, word: str) -> int:
         import xxhash
 
-        if len(self.seen) > 300_000:
-            self.seen.clear()
-        h = self.seen[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        n = self.seen[word] = len(self.seen)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        self.table[n] = xxhash.xxh3_64_intdigest(word)
+        return n
 
     def hashes(self, text: str) -> np.ndarray:
-        get, new = self.seen.get, self._word_hash
         words = WORD.findall(text.lower())
         n = len(words) - self.words + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        h = np.array([get(w) or new(w) for w in words], dtype=np.uint64)
+        if len(self.seen) > self.WORDS:
+            self.seen.clear()
+        get = self.seen.get
+        at = list(map(get, words))
+        if None in at:
+            at = [self._number(w) if (i := get(w)) is None else i for w in words]
+        h = self.table[np.array(at, np.int64)]
         s = np.zeros(n, np.uint64)
         for i in range(self.words):
             s = (s ^ h[i : i + n]) * _MIX
@@ -78,12 +86,13 @@ def fingerprint(h: np.ndarray) -> tuple[np.ndarray, bytes]:
     low = (h ^ (h >> np.uint64(32))).astype(np.uint32)
     least = np.full(BITS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(low), 2048):
-        v = low[i : i + 2048, None] * _MULT[None, :] + _ADD[None, :]
-        v ^= v >> np.uint32(15)
-        v *= np.uint32(0x2C1B3C6D)
-        v ^= v >> np.uint32(12)
+        v = low[i : i + 2048, None] * _MULT
+        v += _ADD
         np.minimum(least, v.min(axis=0), out=least)
-    bits = np.packbits((least & np.uint32(1)).astype(np.uint8)).tobytes()
+    # The minima are mixed once at the end, so that each bit depends on the whole minimum.
+    mixed = (least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    mixed = (mixed ^ (mixed >> np.uint32(12))) * np.uint32(0x297A2D39)
+    bits = np.packbits((mixed >> np.uint32(31)).astype(np.uint8)).tobytes()
     bands = least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(np.uint64)
     key = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
     for i in range(BAND_ROWS):
