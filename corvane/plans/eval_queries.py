@@ -333,7 +333,7 @@ rows_{name} AS (SELECT *, sum(CASE WHEN rel THEN 1 ELSE 0 END) OVER (PARTITION B
 {name} AS (SELECT {keys},
   CASE WHEN idcg > 0 THEN sum(CASE WHEN rel AND rank <= 10 THEN grade / log2(rank + 1) ELSE 0 END) / idcg ELSE 0 END AS ndcg10, {recalls},
   coalesce(1.0 / min(rank) FILTER (rel AND rank <= 10), 0) AS mrr10, {precisions},
-  {cut(10, "CASE WHEN n_relevant > 0 AND count(*) FILTER (rel AND rank <= 10) = least(n_relevant, 10) THEN 1.0 ELSE 0.0 END")} AS all_gold_in_top10,
+  {cut(10, "CASE WHEN n_relevant > 0 AND count(*) FILTER (rel AND rank <= 10) = least(n_relevant, 10) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END")} AS all_gold_in_top10,
   {share("sum(CASE WHEN rel THEN so_far / rank ELSE 0 END)")} AS average_precision,
   CASE WHEN n_relevant > {depth} THEN NULL WHEN n_relevant = 0 THEN 0 ELSE count(*) FILTER (rel AND rank <= n_relevant) / n_relevant END AS r_precision,
   (1 - 0.8) * sum(CASE WHEN rank IS NOT NULL AND grade IS NULL THEN pow(0.8, rank - 1) ELSE 0 END) + pow(0.8, count(rank)) AS rbp_residual
