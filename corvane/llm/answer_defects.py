@@ -1,7 +1,7 @@
 """Defective answers of prompt and response records: empty, refused, copied from the prompt, in another language, cut off.
 
 Copies are found by shingle containment and then a longest-common-subsequence alignment with the questions, refusals by
-alignment with refusal templates, languages by the text model, and broken-off ends by how often the last words end a
+alignment of refusal templates with every clause, languages by the text model, and broken-off ends by how often the last words end a
 sentence in a bounded sample of the records' own sentences.
 """
 
@@ -36,33 +36,42 @@ PLACEHOLDERS = frozenset(
     "nincs üres hiányzik válasz összefoglaló leer keine fehlt antwort zusammenfassung vide aucun aucune manquant réponse résumé "
     "vacío ninguno ninguna falta respuesta resumen vazio nenhum nenhuma resposta resumo нет пусто отсутствует ответ резюме".split()
 )
-# Phrases with which a writer declines, without accents, by language.
-REFUSALS = tuple(
-    tuple(phrase.split())
-    for phrase in (
-        "i cannot", "i can not", "i can t", "i cant", "i could not", "i am unable", "i m unable", "i am not able", "i m not able", "i won t", "i will not", "i must decline", "i have to decline", "i need to decline",
-        "i decline", "i must refuse", "i refuse", "i do not feel comfortable", "i don t feel comfortable", "i am not comfortable", "i am not allowed", "it is not possible for me", "it s not possible for me", "it is impossible for me", "request declined", "request denied", "request refused", "we cannot help", "we are unable",
-        "nem tudok segiteni", "nem tudok valaszolni", "nem tudom osszefoglalni", "nem tudom megvalaszolni", "nem tudom leirni", "nem valaszolhatok", "nem segithetek", "vissza kell utasitanom", "el kell utasitanom", "nem all modomban", "nem vagyok kepes", "a kerest elutasitom", "keres elutasitva",
-        "kann ich dabei nicht", "kann ich ihnen nicht", "kann ich nicht", "ich kann dabei nicht", "ich kann ihnen nicht", "ich kann nicht", "kann ich diese frage nicht", "kann ich diesen abschnitt nicht", "darf ich nicht", "darf ich diese frage nicht", "ich darf diese frage nicht", "ist es mir nicht moglich", "es ist mir nicht moglich", "ich muss ablehnen", "muss ich ablehnen", "muss ich diese anfrage ablehnen", "ich muss diese anfrage ablehnen", "ich bin nicht in der lage", "bin ich nicht in der lage", "anfrage abgelehnt",
-        "je ne peux pas", "je ne peux", "je ne suis pas en mesure", "je ne saurais", "il m est impossible", "il ne m est pas possible", "je dois refuser", "je dois decliner", "je refuse", "demande refusee",
-        "no puedo", "no me es posible", "no estoy en condiciones", "no soy capaz", "debo rechazar", "debo declinar", "tengo que rechazar", "solicitud rechazada", "me es imposible",
-        "nao posso", "nao consigo", "nao me e possivel", "nao sou capaz", "nao estou em condicoes", "devo recusar", "tenho de recusar", "tenho que recusar", "pedido recusado", "e me impossivel",
-        "я не могу", "не могу помочь", "не могу ответить", "я не смогу", "не смогу помочь", "я не в состоянии", "вынужден отказаться", "вынужден отказать", "вынуждена отказаться", "я должен отказаться", "мне невозможно", "запрос отклонен",
-    )
+# Words with which a writer declines, in order, without accents, by language; '|' parts alternatives.
+REFUSALS = (
+    "i cannot|cant|couldnt|wont", "i can not|t", "i could not", "i am|m unable", "i am|m not able|allowed|comfortable|permitted", "i won t", "i will not", "i must|have|need decline|refuse", "i decline|refuse", "i do not feel comfortable", "i don t feel comfortable", "i would|d|ll rather|prefer not", "i prefer not",
+    "i have|must|need|will leave unanswered", "not something i can|could|may|will", "outside|beyond what i may|can|could", "not possible for me", "impossible for me", "we cannot help", "we are unable", "assistant does not respond|answer|comment this",
+    "my rules|guidelines|instructions|policy|policies leave|leaves|give|gives me no", "my rules|guidelines|instructions|policy|policies forbid|forbids|prevent|prevents|prohibit|prohibits", "conflicts with my rules|guidelines|instructions|policy|policies", "against my rules|guidelines|instructions|policy|policies",
+    "nem tudok segiteni|valaszolni", "nem tudom osszefoglalni|megvalaszolni|leirni", "nem valaszolhatok|valaszolnek|valaszolok|segithetek", "nem adhatok|adok valaszt", "vissza kell utasitanom", "el kell utasitanom", "nem all modomban", "nem vagyok kepes", "kerest|keresedet|kereset|valaszt elutasitom|megtagadom", "elutasitom|megtagadom kerest|keresedet|kereset|valaszt",
+    "kann|darf|mochte|werde|will ich nicht", "ich kann|darf|mochte|werde|will nicht", "ist es mir nicht moglich", "es ist mir nicht moglich", "muss ich ablehnen|verweigern", "ich muss ablehnen|verweigern", "ich bin nicht in der lage", "bin ich nicht in der lage", "ich lehne ab", "lehne ich ab",
+    "je ne peux|saurais|puis|souhaite", "je ne suis pas en mesure", "il m est impossible", "il ne m est pas possible", "je dois refuser|decliner", "je refuse|decline", "je prefere ne pas",
+    "no puedo", "no me es posible", "no estoy en condiciones", "no soy capaz", "debo rechazar|declinar", "tengo que rechazar|declinar", "me es imposible", "prefiero no responder|contestar|comentar|describir|resumir", "rechazo esta|su|tu solicitud|peticion",
+    "nao posso|consigo", "nao me e possivel", "nao sou capaz", "nao estou em condicoes", "devo recusar|declinar", "tenho de|que recusar", "e me impossivel", "prefiro nao responder|comentar|descrever|resumir", "recuso este|esse|o|seu pedido",
+    "я не могу|смогу|буду", "не могу|смогу|буду помочь|ответить|отвечать|описать|обобщить|комментировать", "я не в состоянии", "вынужден|вынуждена отказаться|отказать|отклонить", "я должен|должна отказаться|отказать|отклонить", "мне невозможно", "предпочитаю не отвечать|комментировать", "я отклоняю|отказываюсь",
 )
-# Words that may stand before such a phrase, without accents.
-OPENERS = frozenset(
-    "i m am im a an as ai language model assistant sorry so very but however apologies my apologize apologise regret to say that regrettably unfortunately afraid after reading this thank you for the text your question request please note answer summary "
-    "sajnos sajnalom elnezest kerek bocsanat de nyelvi modellkent ebben erre a az kerdesre koszonom szoveget azonban ezt szakaszt es mert olvasas utan "
-    "leider entschuldigung es tut mir leid aber als sprachmodell danke fur den text bedauerlicherweise ich bedaure nach dem lesen jedoch "
-    "malheureusement toutes mes excuses je suis desole desolee mais en tant que modele de langage merci pour le texte regrette apres lecture toutefois "
-    "lo siento lamentablemente mis disculpas pero como modelo de lenguaje gracias por el texto desafortunadamente mucho sin embargo yo tras leer esto "
-    "desculpe desculpa lamento infelizmente minhas desculpas peco mas como modelo de linguagem obrigado pelo texto sinto muito eu depois de ler isto no entanto "
-    "извините простите к сожалению мне жаль но как языковая модель спасибо за текст прошу прощения я однако".split()
-)
-_CORES_BY_FIRST: dict[str, list[tuple[str, ...]]] = {}
-for _core in REFUSALS:
-    _CORES_BY_FIRST.setdefault(_core[0], []).append(_core)
+# The same without a first person; they hold only as a short clause of their own, as texts also tell of declined requests.
+REFUSED = (
+    "request declined|denied|refused|rejected", "no summary|answer|description|comment will be given|provided|written", "answering|describing|summarising|summarizing|commenting|responding would not be appropriate|right|proper",
+    "keres|kerest elutasitva|elutasitjuk", "anfrage abgelehnt|verweigert", "demande refusee|rejetee|declinee", "solicitud|peticion rechazada|denegada", "pedido recusado|negado|rejeitado", "запрос отклонен",
+)
+#: Words that may stand between two of a template, and those that may not, as they bring in another subject; further words of a short clause.
+REFUSAL_GAP, REFUSED_REST = 3, 3
+_OTHERS = frozenset("you he she they it that which who whether and or but if er sie wir dass und oder aber wenn tu il elle ils elles que qui et ou mais si y o pero ele ela eles mas ou он она они что и или но hogy vagy de aki".split())
+#: Verbs of reported speech: what follows them in a sentence is not the writer's own.
+_REPORTS = frozenset("says said say states stated answers answered replies replied reports writes sagt sagte antwortet meldet schreibt lautet dit repond indique affirme dice responde indica diz afirma говорит отвечает пишет сообщает mondja valaszolja irja kozli".split())
+
+
+def _templates(phrases: tuple[str, ...], whole: bool) -> Iterator[tuple[tuple[frozenset[str], ...], bool]]:
+    return ((tuple(frozenset(w.split("|")) for w in phrase.split()), whole) for phrase in phrases)
+
+
+_CORES_BY_FIRST: dict[str, list[tuple[tuple[frozenset[str], ...], bool]]] = {}
+for _core, _whole in (*_templates(REFUSALS, False), *_templates(REFUSED, True)):
+    for _word in _core[0]:
+        _CORES_BY_FIRST.setdefault(_word, []).append((_core, _whole))
+
+_QUOTED = re.compile(r"`[^`]*`|\"[^\"]*\"|“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|‘[^‘’]*’(?!\w)")
+_CLAUSE = re.compile(r"[^.!?。！？؟;:\n]+[.!?。！？؟;:\n]?")
+_WORD_OR_COMMA = re.compile(r"[^\W_]+|,")
 
 _TOKEN = re.compile(r"[^\W_]+")
 _END_MARK = re.compile(r"[.!?。！？؟](?:[\"'»”’)\]*_`\s​]*)$")
@@ -70,11 +79,13 @@ _BROKEN_MARK = re.compile(r"(?:[,;:(\[{/\\–—-]|…|\.\.\.)[\"'»”’)\]*_\
 _CLOSERS = "\"'»”’)]*_ \t\r\n ​"
 
 
+def without_accents(text: str) -> str:
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+
 def folded(text: str) -> list[str]:
     """Lower-case tokens without accents."""
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    return _TOKEN.findall(text.lower())
+    return _TOKEN.findall(without_accents(text).lower())
 
 
 def is_empty(text: str | None) -> bool:
@@ -84,15 +95,42 @@ def is_empty(text: str | None) -> bool:
     return len(words) <= 4 and all(w in PLACEHOLDERS for w in words)
 
 
-def is_refusal(tokens: list[str], reach: int = 14) -> bool:
-    """The text begins, after words of regret or address at most, with a refusal template (aligned with at most one word between)."""
-    for at, token in enumerate(tokens[:reach]):
-        for core in _CORES_BY_FIRST.get(token, ()):
-            window = tokens[at : at + len(core) + 1]
-            if tuple(window[: len(core)]) == core or (len(core) >= 4 and lcs(core, window) >= len(core) and window[0] == core[0]):
-                return True
-        if token not in OPENERS:
+def is_refusal(text: str) -> bool:
+    """Some clause of the text, wherever it stands, aligns with a refusal template.
+
+    Quoted words, questions and reported speech are not the writer's own. Between two words of a template up to REFUSAL_GAP others
+    may stand, but no other subject and no lone comma.
+    """
+    text = text.strip()
+    own = _QUOTED.sub(" ", text)
+    if not _TOKEN.search(own):
+        own = text.strip("\"“”„«»‘’`")  # all of it is quoted, as a decoration
+    for clause in _CLAUSE.findall(without_accents(own).lower()):
+        if clause[-1] in "?？؟":
+            continue
+        tokens = _WORD_OR_COMMA.findall(clause)
+        for at, token in enumerate(tokens):
+            if token in _REPORTS:
+                break
+            for core, whole in _CORES_BY_FIRST.get(token, ()):
+                if whole and (at > 1 or len(tokens) > len(core) + REFUSED_REST):
+                    continue
+                if _aligns(core, tokens, at):
+                    return True
+    return False
+
+
+def _aligns(core: tuple[frozenset[str], ...], tokens: list[str], at: int) -> bool:
+    """The rest of the template follows tokens[at], each word at most REFUSAL_GAP words after the one before."""
+    if len(core) == 1:
+        return True
+    commas = 0
+    for i in range(at + 1, min(len(tokens), at + 2 + REFUSAL_GAP)):
+        if tokens[i] in core[1] and commas != 1 and _aligns(core[1:], tokens, i):
+            return True
+        if tokens[i] in _OTHERS:
             return False
+        commas += tokens[i] == ","
     return False
 
 
@@ -225,7 +263,7 @@ def _defects(model, endings):
                 out.append((field, "empty"))
                 continue
             tokens = folded(text)
-            if is_refusal(tokens):
+            if is_refusal(text):
                 out.append((field, "refusal"))
             elif copies_question(tokens, q_tokens):
                 out.append((field, "copies_question"))

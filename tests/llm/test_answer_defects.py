@@ -45,6 +45,19 @@ def test_no_refusal(judged, text):
     assert one(judged, text) == set()
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["Ezt a kérést a szabályaim miatt elutasítom.", "Erre a tartalomra nem adhatok választ.", "Diese Anfrage muss ich ablehnen.", "Cette demande est refusée.", "My rules leave me no room to comment on this section.", "Answering this would not be appropriate.", "The assistant does not respond to this kind of content.", "The section names a load balancer and a retry policy. I, regrettably, cannot say more about it."],
+)
+def test_refusal_wherever_it_stands(text):
+    assert ad.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", ["The gateway logs each request declined by the proxy.", "The gateway says that I cannot pass when the quota is used up.", "A log line of «je ne peux pas» ends the session.", "No hay problema, puedo verlo en el registro.", "Az átjáró a második próbálkozásra elutasítja a kérést.", "What if I cannot restore the gateway?", "This section describes why a reviewer must refuse a draft without sources."])
+def test_told_refusal_is_none(text):
+    assert not ad.is_refusal(text)
+
+
 @pytest.mark.parametrize("text", [Q[0], Q[0].upper(), f'"{Q[0]}"', f"{Q[0]} {Q[0]}", f"{Q[1]} {Q[0]}", Q[0].replace("?", "!"), "What happens when the slow tokenizer restores the public load balancer", f"Question: {Q[0]}"])
 def test_copies(judged, text):
     assert one(judged, text) == {("short_desc", "copies_question")}
