@@ -35,8 +35,16 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(members, links)
 
 
+def _p2_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return texts(spark, d, "documents", *DOCUMENT_COLUMNS), texts(spark, d, "atoms", "atom_id", "body", "sources", "x_domain", "atom_type", "ingested_at", "removed_at"), table(spark, d, "lang_codes")
+
+
 def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.token_budget(texts(spark, d, "documents", *DOCUMENT_COLUMNS), texts(spark, d, "atoms", "atom_id", "body", "sources", "x_domain", "atom_type", "ingested_at", "removed_at"), table(spark, d, "lang_codes"))
+    return tokens.token_budget(*_p2_parts(spark, d))
+
+
+def p2_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_counts(*_p2_parts(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +99,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_token_budget, p4_found, p4_counts, p5_found, p5_pieces, p6_containers, p7_mixture, p7_shares, p8_found, p8_languages, p8_segments)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_token_budget, p2_token_counts, p4_found, p4_counts, p5_found, p5_pieces, p6_containers, p7_mixture, p7_shares, p8_found, p8_languages, p8_segments)}
 
 
 def oracle_sql() -> dict[str, str]:

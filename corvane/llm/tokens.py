@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.languages import host_key, label_language
+from corvane.session import cut
 
 #: A byte-level BPE rank file; its path is a parameter of every operator here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -80,16 +81,15 @@ def document_path(column: Column, missing: str = "(none)") -> Column:
     return F.coalesce(F.nullif(p, F.lit("")), F.lit(missing))
 
 
-def document_budget(docs: DataFrame, codes: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Totals of documents by source, language and x_domain. A label that lang_codes lacks counts as 'und'."""
-    rows = label_language("lang", codes, docs.select("text", "lang", "source", "x_domain"))
-    rows = rows.select("text", clean_label(host_key("source")).alias("source"), F.coalesce("label_lang", F.lit("und")).alias("language"), clean_label(F.col("x_domain")).alias("x_domain"))
-    counted = with_token_counts(rows.withColumnRenamed("text", "_text"), F.col("_text"), tokenizer)
-    return token_cube(counted, ["source", "language", "x_domain"])
+def document_counts(docs: DataFrame, codes: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """One row a document: doc_id, n_tokens and its labels. A label that lang_codes lacks counts as 'und'."""
+    rows = label_language("lang", codes, docs.select("doc_id", "text", "lang", "source", "x_domain"))
+    rows = rows.select("doc_id", F.col("text").alias("_text"), clean_label(host_key("source")).alias("source"), F.coalesce("label_lang", F.lit("und")).alias("language"), clean_label(F.col("x_domain")).alias("x_domain"))
+    return with_token_counts(rows, F.col("_text"), tokenizer)
 
 
-def atom_budget(atoms: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Totals of atoms by source document, x_domain and atom_type. Each row of atoms counts, exact repeats once."""
+def atom_counts(atoms: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """One row for each row of atoms, exact repeats once: atom_id with the times it was there, n_tokens and its labels."""
     rows = atoms.select(
         F.col("body").alias("_text"),
         document_path(F.get("sources", F.lit(0))).alias("source"),
@@ -99,13 +99,28 @@ def atom_budget(atoms: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         "ingested_at",
         "removed_at",
     )
-    counted = with_token_counts(rows, F.col("_text"), tokenizer)
-    return token_cube(counted.distinct(), ["source", "x_domain", "atom_type"])
+    return with_token_counts(rows, F.col("_text"), tokenizer).distinct()
+
+
+def token_counts(docs: DataFrame, atoms: DataFrame, codes: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The counts of single texts in one table, written to the checkpoint folder: (slice_of, doc_id, atom_id, ingested_at, removed_at, source, language, x_domain, atom_type, n_tokens)."""
+    d = document_counts(docs, codes, tokenizer).withColumn("slice_of", F.lit("documents"))
+    a = atom_counts(atoms, tokenizer).withColumn("slice_of", F.lit("atoms"))
+    columns = ("slice_of", "doc_id", "atom_id", "ingested_at", "removed_at", "source", "language", "x_domain", "atom_type", "n_tokens")
+    return cut(d.unionByName(a, allowMissingColumns=True).select(*columns))
+
+
+def document_budget(docs: DataFrame, codes: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Totals of documents by source, language and x_domain."""
+    return token_cube(document_counts(docs, codes, tokenizer), ["source", "language", "x_domain"])
 
 
 def token_budget(docs: DataFrame, atoms: DataFrame, codes: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Both cubes in one table: (slice_of, source, language, x_domain, atom_type, level, n_docs, n_tokens)."""
-    null = F.lit(None).cast("string")
-    d = document_budget(docs, codes, tokenizer).select(F.lit("documents").alias("slice_of"), "source", "language", "x_domain", null.alias("atom_type"), "level", "n_docs", "n_tokens")
-    a = atom_budget(atoms, tokenizer).select(F.lit("atoms").alias("slice_of"), "source", null.alias("language"), "x_domain", "atom_type", "level", "n_docs", "n_tokens")
+    """Both cubes of the table of counts in one table: (slice_of, source, language, x_domain, atom_type, level, n_docs, n_tokens).
+
+    Documents are totalled by source, language and x_domain, atoms by source document, x_domain and atom_type.
+    """
+    counted, null = token_counts(docs, atoms, codes, tokenizer), F.lit(None).cast("string")
+    d = token_cube(counted.where("slice_of = 'documents'"), ["source", "language", "x_domain"]).select(F.lit("documents").alias("slice_of"), "source", "language", "x_domain", null.alias("atom_type"), "level", "n_docs", "n_tokens")
+    a = token_cube(counted.where("slice_of = 'atoms'"), ["source", "x_domain", "atom_type"]).select(F.lit("atoms").alias("slice_of"), "source", null.alias("language"), "x_domain", "atom_type", "level", "n_docs", "n_tokens")
     return d.unionByName(a)

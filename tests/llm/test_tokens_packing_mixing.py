@@ -43,6 +43,19 @@ def test_budget_of_empty_tables(spark, tiny):
     assert all(r.n_docs in (None, 0) for r in tokens.token_budget(docs, atoms, codes).collect())
 
 
+def test_counts_of_single_texts(spark, tiny):
+    from corvane.llm import queries
+
+    enc = tokens.encoding(tokens.TOKENIZER)
+    size = lambda t: len(enc.encode_ordinary(t)) if t else 0
+    rows = queries.queries()["p2_token_counts"](spark, tiny).collect()
+    assert {r.doc_id: r.n_tokens for r in rows if r.slice_of == "documents"} == {r.doc_id: size(r.text) for r in table(spark, tiny, "documents").collect()}
+    atoms = {(r.atom_id, r.ingested_at, r.removed_at, size(r.body)) for r in table(spark, tiny, "atoms").collect()}
+    assert {(r.atom_id, r.ingested_at, r.removed_at, r.n_tokens) for r in rows if r.slice_of == "atoms"} == atoms
+    cubes = {r.slice_of: r.n_tokens for r in queries.queries()["p2_token_budget"](spark, tiny).where("level = 7").collect()}
+    assert cubes == {s: sum(r.n_tokens for r in rows if r.slice_of == s) for s in ("documents", "atoms")}
+
+
 def checked(spark, sizes, **kw):
     rows = [(str(i), s) for i, s in enumerate(sizes)]
     df = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc string, n long, container string, box int").repartition(3)
