@@ -19,6 +19,9 @@ from corvane.plans.rank_queries import ANALYZER, corpus, queries_of, text_of
 from corvane.session import cut, table
 
 DEPTH = 10
+#: Ranks of the legs of the first queries; evaluation over all recall depths takes EVAL_DEPTH (the *_deep queries).
+LEG_DEPTH = 40
+EVAL_DEPTH = max(ev.RECALL_DEPTHS)
 AS_OF = "2025-06-30"
 KNOWN_TYPES = ["adr", "benchmark", "feature-log", "knowledge", "paper", "review", "standard"]
 
@@ -40,24 +43,25 @@ def run_rankings(spark: SparkSession, d: str) -> DataFrame:
 
 
 class _Legs(dict):
-    """The best 40 of each leg, made when asked for and kept in the checkpoint folder."""
+    """The best of each leg down to a depth, made when asked for and kept in the checkpoint folder."""
 
-    def __init__(self, spark: SparkSession, d: str) -> None:
+    def __init__(self, spark: SparkSession, d: str, depth: int) -> None:
         super().__init__()
+        self.depth = depth
         self.corpus, self.terms = corpus(spark, d), rk.query_terms(queries_of(spark, d), ANALYZER)
 
     def __missing__(self, name: str) -> DataFrame:
         text = {"linear": text_of(), "body": F.col("body"), "title": F.col("title")}[name]
-        self[name] = cut(rk.top_k(rk.bm25(ix.Index.build(self.corpus, ANALYZER, text).stored(), self.terms), 40))
+        self[name] = cut(rk.top_k(rk.bm25(ix.Index.build(self.corpus, ANALYZER, text).stored(), self.terms), self.depth))
         return self[name]
 
 
-def _legs(spark: SparkSession, d: str) -> _Legs:
-    return _Legs(spark, d)
+def _legs(spark: SparkSession, d: str, depth: int = LEG_DEPTH) -> _Legs:
+    return _Legs(spark, d, depth)
 
 
-def golden_ranking(spark: SparkSession, d: str) -> DataFrame:
-    leg = _legs(spark, d)["linear"]
+def golden_ranking(spark: SparkSession, d: str, depth: int = LEG_DEPTH) -> DataFrame:
+    leg = _legs(spark, d, depth)["linear"]
     return leg.select("query_id", F.col("atom_id").alias("doc_id"), "rank")
 
 
@@ -81,8 +85,8 @@ def r12_hybrid_full(spark: SparkSession, d: str) -> DataFrame:
     return fu.fuse_legs(legs["body"], legs["title"], leg_cut=5)
 
 
-def u6_fusion_grid(spark: SparkSession, d: str) -> DataFrame:
-    legs = _legs(spark, d)
+def u6_fusion_grid(spark: SparkSession, d: str, depth: int = LEG_DEPTH) -> DataFrame:
+    legs = _legs(spark, d, depth)
     rows = None
     for name in ("linear", "body", "title"):
         part = legs[name].select(F.lit(name).alias("leg"), "query_id", "atom_id", "rank")
@@ -97,13 +101,13 @@ def u7_head_to_head(spark: SparkSession, d: str) -> DataFrame:
     return fu.head_to_head(ndcg(legs["body"]), ndcg(legs["title"]), "ndcg10")
 
 
-def _pool(spark: SparkSession, d: str) -> DataFrame:
-    leg = _legs(spark, d)["body"]
+def _pool(spark: SparkSession, d: str, depth: int = LEG_DEPTH) -> DataFrame:
+    leg = _legs(spark, d, depth)["body"]
     return leg.join(queries_of(spark, d), "query_id").join(corpus(spark, d).select("atom_id", "body"), "atom_id")
 
 
-def u8_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return fu.rerank(_pool(spark, d)).where("rank <= 10")
+def u8_rerank(spark: SparkSession, d: str, depth: int = LEG_DEPTH) -> DataFrame:
+    return fu.rerank(_pool(spark, d, depth)).where("rank <= 10")
 
 
 def u10_calibration(spark: SparkSession, d: str) -> DataFrame:
@@ -125,17 +129,17 @@ def f5_known_type(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).groupBy(kind.alias("atom_type")).agg(F.count("*").alias("n"))
 
 
-def _pool_with_docs(spark: SparkSession, d: str) -> DataFrame:
+def _pool_with_docs(spark: SparkSession, d: str, depth: int = LEG_DEPTH) -> DataFrame:
     c = corpus(spark, d).select("atom_id", F.coalesce(F.get("sources", F.lit(0)), F.col("atom_id")).alias("document"), "title", "heading_chain", "body", "origin_index", "origin_count")
-    return _legs(spark, d)["body"].join(c, "atom_id")
+    return _legs(spark, d, depth)["body"].join(c, "atom_id")
 
 
-def w3_cap_per_document(spark: SparkSession, d: str) -> DataFrame:
-    return dv.renumber(dv.cap_per_document(_pool_with_docs(spark, d)), 10).select("query_id", "atom_id", "document", "rank")
+def w3_cap_per_document(spark: SparkSession, d: str, depth: int = LEG_DEPTH) -> DataFrame:
+    return dv.renumber(dv.cap_per_document(_pool_with_docs(spark, d, depth)), 10).select("query_id", "atom_id", "document", "rank")
 
 
-def w5_reading_order(spark: SparkSession, d: str) -> DataFrame:
-    capped = dv.renumber(dv.cap_per_document(_pool_with_docs(spark, d)), 10)
+def w5_reading_order(spark: SparkSession, d: str, depth: int = LEG_DEPTH) -> DataFrame:
+    capped = dv.renumber(dv.cap_per_document(_pool_with_docs(spark, d, depth)), 10)
     return dv.reading_order(capped).select("query_id", "atom_id", "document", "place")
 
 
@@ -172,14 +176,14 @@ def w13_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return run_rows(spark, d).where("score is not null").groupBy("run_tag").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.count("*").alias("n"))
 
 
-def w15_pack(spark: SparkSession, d: str) -> DataFrame:
-    capped = dv.reading_order(dv.renumber(dv.cap_per_document(_pool_with_docs(spark, d)), 5))
+def w15_pack(spark: SparkSession, d: str, depth: int = LEG_DEPTH) -> DataFrame:
+    capped = dv.reading_order(dv.renumber(dv.cap_per_document(_pool_with_docs(spark, d, depth)), 5))
     packs = dv.render_pack(capped)
     return packs.select("query_id", F.md5("pack").alias("pack_md5"), "citations", "markers")
 
 
-def e_topic_metrics(spark: SparkSession, d: str) -> DataFrame:
-    m = ev.topic_metrics(golden_ranking(spark, d), qrels(spark, d), 40)
+def e_topic_metrics(spark: SparkSession, d: str, depth: int = LEG_DEPTH) -> DataFrame:
+    m = ev.topic_metrics(golden_ranking(spark, d, depth), qrels(spark, d), depth)
     return m.select("query_id", *(F.round(c, 9).alias(c) for c in ev.METRICS))
 
 
@@ -188,8 +192,8 @@ def e_run_metrics(spark: SparkSession, d: str) -> DataFrame:
     return ev.macro_metrics(ev.topic_metrics(hits, qrels(spark, d), DEPTH, hits), ["run_tag"])
 
 
-def e14_dataset_score(spark: SparkSession, d: str) -> DataFrame:
-    return ev.macro_metrics(ev.topic_metrics(golden_ranking(spark, d), qrels(spark, d), 40))
+def e14_dataset_score(spark: SparkSession, d: str, depth: int = LEG_DEPTH) -> DataFrame:
+    return ev.macro_metrics(ev.topic_metrics(golden_ranking(spark, d, depth), qrels(spark, d), depth))
 
 
 def e13_strata(spark: SparkSession, d: str) -> DataFrame:
@@ -256,8 +260,8 @@ def e27_regression_gate(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("previous", before).select("run_tag", "ndcg10", "previous", F.when(F.col("previous").isNull(), "first").when(F.col("ndcg10") - F.col("previous") >= -0.01, "pass").otherwise("fail").alias("gate"))
 
 
-def e31_recall_curves(spark: SparkSession, d: str) -> DataFrame:
-    m = e14_dataset_score(spark, d)
+def e31_recall_curves(spark: SparkSession, d: str, depth: int = LEG_DEPTH) -> DataFrame:
+    m = e14_dataset_score(spark, d, depth)
     points = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"recall{k}").alias("recall")) for k in ev.RECALL_DEPTHS))
     return m.select(F.explode(points).alias("p")).select("p.k", "p.recall")
 
@@ -270,6 +274,41 @@ def e35_metric_disagreement(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "metric", F.round("recorded", 9).alias("recorded"), F.round("recomputed", 9).alias("recomputed"))
 
 
+# The same over the depth that evaluation and the pools of delivery call for.
+
+
+def u6_fusion_grid_deep(spark: SparkSession, d: str) -> DataFrame:
+    return u6_fusion_grid(spark, d, EVAL_DEPTH)
+
+
+def u8_rerank_deep(spark: SparkSession, d: str) -> DataFrame:
+    return u8_rerank(spark, d, dv.pool_size(10, None, dv.POOL_FLOOR))
+
+
+def w3_cap_per_document_deep(spark: SparkSession, d: str) -> DataFrame:
+    return w3_cap_per_document(spark, d, dv.pool_size(10, dv.MAX_PER_DOC))
+
+
+def w5_reading_order_deep(spark: SparkSession, d: str) -> DataFrame:
+    return w5_reading_order(spark, d, dv.pool_size(10, dv.MAX_PER_DOC))
+
+
+def w15_pack_deep(spark: SparkSession, d: str) -> DataFrame:
+    return w15_pack(spark, d, dv.pool_size(5, dv.MAX_PER_DOC))
+
+
+def e_topic_metrics_deep(spark: SparkSession, d: str) -> DataFrame:
+    return e_topic_metrics(spark, d, EVAL_DEPTH)
+
+
+def e14_dataset_score_deep(spark: SparkSession, d: str) -> DataFrame:
+    return e14_dataset_score(spark, d, EVAL_DEPTH)
+
+
+def e31_recall_curves_deep(spark: SparkSession, d: str) -> DataFrame:
+    return e31_recall_curves(spark, d, EVAL_DEPTH)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -277,6 +316,7 @@ QUERIES = {
         f2_type_and_domain, f4_live_atoms, f5_known_type, f7_relevance_floor,
         w3_cap_per_document, w5_reading_order, w6_fit_budget, w8_confidence, w9_normalised, w10_document_rollup, w11_atom_spread, w13_percentiles, w15_pack,
         e_topic_metrics, e_run_metrics, e13_strata, e14_dataset_score, e15_forensics, e16_gold_in_budget, e18_significance, e21_gold_audit, e22_collapsing_topics, e24_reachability, e26_metric_delta, e27_regression_gate, e31_recall_curves, e33_legacy_ndcg, e34_random_recall, e35_metric_disagreement,
+        u6_fusion_grid_deep, u8_rerank_deep, w3_cap_per_document_deep, w5_reading_order_deep, w15_pack_deep, e_topic_metrics_deep, e14_dataset_score_deep, e31_recall_curves_deep,
     )
 }
 
@@ -416,3 +456,18 @@ ORACLES = {
     "e35_metric_disagreement": sql.base(*_START, *_TITLE, *_BODY_LEG, _QRELS, "ra AS (SELECT query_id, atom_id AS doc_id, rank FROM leg_title)", "rb AS (SELECT query_id, atom_id AS doc_id, rank FROM leg_body)", _metrics_sql("ra", 40, name="ma"), _metrics_sql("rb", 40, name="mb"),
         "longer AS (" + " UNION ALL ".join(f"SELECT query_id, '{m}' AS metric, a.{m} AS recorded, b.{m} AS recomputed FROM ma a JOIN mb b USING (query_id)" for m in ("ndcg10", "mrr10")) + ")") + "SELECT query_id, metric, round(recorded, 9) AS recorded, round(recomputed, 9) AS recomputed FROM longer WHERE abs(recorded - recomputed) > 1e-4",
 }
+
+
+def _deeper(query: str, depth: int) -> str:
+    """A twin with its legs cut at another depth."""
+    return query.replace(f"WHERE rank <= {LEG_DEPTH})", f"WHERE rank <= {depth})")
+
+
+_DEEP_METRICS = (*(_deeper(c, EVAL_DEPTH) for c in _GOLDEN), _metrics_sql("ranking", EVAL_DEPTH))
+ORACLES |= {
+    "u6_fusion_grid_deep": _deeper(ORACLES["u6_fusion_grid"], EVAL_DEPTH),
+    **{f"{name}_deep": _deeper(ORACLES[name], 100) for name in ("u8_rerank", "w3_cap_per_document", "w5_reading_order", "w15_pack")},
+    "e_topic_metrics_deep": sql.base(*_DEEP_METRICS) + "SELECT query_id, " + ", ".join(f"round({m}, 9) AS {m}" for m in ev.METRICS) + " FROM metrics",
+    "e14_dataset_score_deep": sql.base(*_DEEP_METRICS) + _macro_sql(),
+    "e31_recall_curves_deep": sql.base(*_DEEP_METRICS, f"macro AS ({_macro_sql()})") + " UNION ALL ".join(f"SELECT {k} AS k, recall{k} AS recall FROM macro" for k in ev.RECALL_DEPTHS),
+}

@@ -121,3 +121,11 @@ def test_unlike_runs_are_refused(spark):
         sg.paired_differences(topics(spark, [1.0]), topics(spark, [1.0, 2.0]), "m")
     with pytest.raises(ValueError, match="missing"):
         sg.paired_differences(topics(spark, [None]), topics(spark, [1.0]), "m")
+
+
+def test_registered_recall_curve_has_every_depth(spark, tiny):
+    from corvane.plans import registry
+
+    rows = {r.k: r.recall for r in registry.queries()["e31_recall_curves_deep"](spark, tiny).collect()}
+    curve = [rows[k] for k in ev.RECALL_DEPTHS]
+    assert None not in curve and curve == sorted(curve)
