@@ -2,7 +2,7 @@
 
 Copies are found by shingle containment and then a longest-common-subsequence alignment with the questions, refusals by
 alignment of refusal templates with every clause, languages by the text model, and broken-off ends by how often the last words end a
-sentence in a bounded sample of the records' own sentences.
+sentence in all of the records' own sentences.
 """
 
 from __future__ import annotations
@@ -17,17 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import languages as lang
+from corvane.session import cut, salted_join, small
 
 
-#: Records, in expectation, from whose sentences the ends are learnt, and word groups that are kept.
-ENDING_SAMPLE = 20_000
-ENDING_GROUPS = 150_000
+#: Word groups that one task counts before it hands its counts on.
+ENDING_BUFFER = 500_000
 #: Share of a question's words that an answer must hold in order to copy it, and share of other words it may hold beside copies.
 COPY_SHARE, COPY_REST = 0.8, 0.2
 #: Nats by which an answer's language must beat the questions' one, and the other way round in the questions.
 LANGUAGE_MARGIN = 5.0
 #: Least odds of a whole sentence against a broken-off one for an answer without end mark.
 WHOLE_ODDS = 0.1
+#: Times that longer words with the same beginning must be as frequent as a word for it to count as a fragment of them.
+FRAGMENT_RATE = 100
 
 # Words that only hold the place of a value.
 PLACEHOLDERS = frozenset(
@@ -177,28 +179,8 @@ def copies_question(answer: list[str], questions: list[list[str]]) -> bool:
     return found
 
 
-class Endings:
-    """How often words and pairs of words end a sentence; bounded by ENDING_GROUPS, so it may be broadcast."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]]) -> None:
-        self.counts = counts
-        words = {g: n for g, n in counts.items() if " " not in g}
-        self.final = sum(f for f, _ in words.values()) + 1
-        self.inner = sum(n - f for f, n in words.values()) + 1
-        self.stems: set[str] = {g[:k] for g in words for k in range(2, len(g))}
-
-    def whole_odds(self, words: list[str]) -> float:
-        """Odds that a text which lacks its end mark after these words is a whole sentence."""
-        pair = " ".join(words[-2:])
-        f, n = self.counts.get(pair, (0, 0)) if len(words) > 1 else (0, 0)
-        f1, n1 = self.counts.get(words[-1], (0, 0))
-        if not n1:
-            return 0.0 if words[-1] in self.stems else 1.0
-        f, n = f + 4 * f1 / n1, n + 4  # the pair's own counts lean on those of its last word
-        return (f + 0.002) / self.final / ((n - f + 0.002) / self.inner)
-
-
-def is_truncated(text: str, endings: Endings) -> bool:
+def ending(text: str) -> bool | tuple[str, str | None]:
+    """Whether the text breaks off, by its marks; where they do not tell, its last word and last pair of words."""
     if text.count("`") % 2 or text.count("(") > text.count(")"):
         return True
     if _BROKEN_MARK.search(text):
@@ -208,10 +190,9 @@ def is_truncated(text: str, endings: Endings) -> bool:
     bare = text.rstrip(_CLOSERS)
     if bare.endswith("`"):  # ends with code: how the words before it go on
         bare = bare[: bare.rstrip("`").rfind("`")].rstrip()
-        words = _words(bare)
-        return bool(words)
+        return bool(_words(bare))
     words = _words(bare)
-    return bool(words) and endings.whole_odds(words) < WHOLE_ODDS
+    return (words[-1], " ".join(words[-2:]) if len(words) > 1 else None) if words else False
 
 
 def _words(text: str) -> list[str]:
@@ -224,6 +205,13 @@ def _clean_word(word: str) -> str:
 
 def _ending_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     final, every = Counter(), Counter()
+
+    def flush() -> pa.RecordBatch:
+        keys = list(every)
+        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([final[k] for k in keys], pa.int64()), pa.array([every[k] for k in keys], pa.int64())], ["grp", "final", "n"])
+        final.clear(), every.clear()
+        return out
+
     for batch in batches:
         for column in batch.columns:
             for text in column.to_pylist():
@@ -234,27 +222,47 @@ def _ending_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     groups = [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]
                     every.update(groups)
                     final.update((words[-1], f"{words[-2]} {words[-1]}"))
-    keys = list(every)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([final[k] for k in keys], pa.int64()), pa.array([every[k] for k in keys], pa.int64())], ["grp", "final", "n"])
+                if len(every) > ENDING_BUFFER:
+                    yield flush()
+    yield flush()
 
 
-def fit_endings(records: DataFrame, id_col: str, text_cols: list[str], sample: int = ENDING_SAMPLE, groups: int = ENDING_GROUPS):
-    """A broadcast Endings learnt from the sentences of about `sample` records, drawn by a hash of their id."""
-    total = records.count()
-    share = 1_000_003 * min(1.0, sample / max(1, total))
-    drawn = records.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < share).select(*text_cols)
-    counts = drawn.mapInArrow(_ending_counts, "grp string, final long, n long").groupBy("grp").agg(F.sum("final").alias("final"), F.sum("n").alias("n"))
-    kept = counts.where("n > 1").orderBy(F.desc("n"), "grp").limit(groups).collect()  # at most `groups` rows
-    return records.sparkSession.sparkContext.broadcast(Endings({r.grp: (r.final, r.n) for r in kept}))
+def fit_endings(records: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
+    """(grp, final, n): how often each word and pair of words ends a sentence, over all records that have an id; checkpointed."""
+    counts = records.where(F.col(id_col).isNotNull()).select(*text_cols).mapInArrow(_ending_counts, "grp string, final long, n long")
+    return cut(counts.groupBy("grp").agg(F.sum("final").alias("final"), F.sum("n").alias("n")))
 
 
-def _defects(model, endings):
-    schema = pa.schema([("record_no", pa.int64()), ("field_name", pa.string()), ("defect", pa.string())])
+def broken_off(undecided: DataFrame, endings: DataFrame) -> DataFrame:
+    """The rows of undecided (.., last_word, last_pair) whose last words hardly ever end a sentence.
 
-    def judge(m: lang.TextModel, e: Endings, short, long, keywords, questions) -> list[tuple[str, str]]:
+    The pair's counts lean on those of its last word. A word that is far rarer than the longer
+    words that begin with it, or has no counts beside theirs, is a fragment: broken-off words with a full stop stand among the counts too.
+    Only the groups asked for are looked up, so the table of endings may be of any size.
+    """
+    asked = undecided.select(F.explode(F.array("last_word", "last_pair")).alias("grp")).where("grp is not null").distinct()
+    found = cut(endings.join(small(asked), "grp", "left_semi"))
+    words = endings.where("instr(grp, ' ') = 0")
+    lasts = undecided.select(F.col("last_word").alias("grp")).where("length(last_word) >= 2").distinct()
+    lengths = lasts.select(F.length("grp").alias("k")).distinct()
+    begun = words.join(F.broadcast(lengths), F.length("grp") > F.col("k")).select(F.expr("substring(grp, 1, k)").alias("grp"), "n").join(small(lasts), "grp", "left_semi").groupBy("grp").agg(F.sum("n").alias("longer"))
+    of = lambda name, f, n: found.select(F.col("grp").alias(name), F.col("final").alias(f), F.col("n").alias(n))
+    rows = salted_join(undecided, of("last_word", "f1", "n1"), "last_word")
+    rows = salted_join(rows, of("last_pair", "f2", "n2"), "last_pair")
+    rows = salted_join(rows, begun.withColumnRenamed("grp", "last_word"), "last_word")
+    rows = rows.crossJoin(F.broadcast(words.agg((F.coalesce(F.sum("final"), F.lit(0)) + 1).alias("finals"), (F.coalesce(F.sum(F.col("n") - F.col("final")), F.lit(0)) + 1).alias("inners"))))  # one row
+    f, n = F.coalesce("f2", F.lit(0)) + 4 * F.col("f1") / F.col("n1"), F.coalesce("n2", F.lit(0)) + 4
+    odds = (f + 0.002) / F.col("finals") / ((n - f + 0.002) / F.col("inners"))
+    return rows.where(F.when(FRAGMENT_RATE * F.coalesce("n1", F.lit(0)) <= F.col("longer"), True).otherwise(F.coalesce(odds < WHOLE_ODDS, F.lit(False)))).select(*undecided.columns)
+
+
+def _defects(model):
+    schema = pa.schema([("record_no", pa.int64()), *((c, pa.string()) for c in ("field_name", "defect", "last_word", "last_pair"))])
+
+    def judge(m: lang.TextModel, short, long, keywords, questions) -> list[tuple]:
         asked = [q for q in questions or [] if not is_empty(q)]
         if not asked:
-            return [("questions", "empty")]
+            return [("questions", "empty", None, None)]
         out = []
         q_tokens = [folded(q) for q in asked]
         q_scores = None
@@ -274,20 +282,20 @@ def _defects(model, endings):
                 a, q = int(scores.argmax()), int(q_scores.argmax())
                 if a != q and scores[a] - scores[q] >= LANGUAGE_MARGIN and q_scores[q] - q_scores[a] >= LANGUAGE_MARGIN:
                     out.append((field, "other_language"))
-                elif is_truncated(text, e):
-                    out.append((field, "truncated"))
+                elif end := ending(text):
+                    out.append((field, "truncated") if end is True else (field, None, *end))
         kept = [k for k in keywords or [] if not is_empty(k)]
         if not kept:
             out.append(("keywords", "empty"))
         elif copies_question([t for k in kept for t in folded(k)], q_tokens):
             out.append(("keywords", "copies_question"))
-        return out
+        return [(*x, None, None) if len(x) == 2 else x for x in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, e = model.value, endings.value
+        m = model.value
         for batch in batches:
-            rows = [(no, *x) for no, *fields in zip(*(c.to_pylist() for c in batch.columns)) for x in judge(m, e, *fields)]
-            cols = list(zip(*rows)) or [()] * 3
+            rows = [(no, *x) for no, *fields in zip(*(c.to_pylist() for c in batch.columns)) for x in judge(m, *fields)]
+            cols = list(zip(*rows)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
@@ -298,12 +306,15 @@ def answer_defects(records: DataFrame, model, endings=None) -> DataFrame:
 
     records: record_no, short_desc, long_desc, keywords, questions; nulls are empty values, other columns are not read. A
     record whose questions are empty is reported for that only. Repeated record_nos are judged once. Whole texts are
-    judged, in one narrow stage; model and endings are bounded broadcasts.
+    judged in one narrow stage with the model as a bounded broadcast; answers whose marks do not tell whether they break off are
+    then joined with the table of endings.
     """
     if endings is None:
         endings = fit_endings(records, "record_no", ["short_desc", "long_desc"])
     rows = records.where("record_no is not null").select("record_no", "short_desc", "long_desc", "keywords", "questions")
-    return rows.mapInArrow(_defects(model, endings), "record_no long, field_name string, defect string").distinct()
+    judged = cut(rows.mapInArrow(_defects(model), "record_no long, field_name string, defect string, last_word string, last_pair string").distinct())
+    broken = broken_off(judged.where("defect is null").drop("defect"), endings).withColumn("defect", F.lit("truncated"))
+    return judged.where("defect is not null").unionByName(broken).select("record_no", "field_name", "defect").distinct()
 
 
 def defect_counts(defects: DataFrame) -> DataFrame:

@@ -94,3 +94,11 @@ def test_repeated_long_and_no_records(judged):
 
 def test_lcs():
     assert ad.lcs("abcbdab", "bdcaba") == 4 and ad.lcs([], "a") == 0
+
+
+def test_every_record_tells_how_sentences_end(spark):
+    rows = [(i, "The gateway keeps the quorvex of the index.", "") for i in range(25_000)] + [(25_000, "The gateway keeps the index of the velmarite.", "The gateway keeps the gatew.")]
+    ends = ad.fit_endings(spark.createDataFrame(rows, "i long, a string, b string"), "i", ["a", "b"])
+    assert tuple(ends.where("grp = 'velmarite'").select("final", "n").first()) == (1, 1) and ends.where("grp = 'index'").first().n == 25_001
+    asked = spark.createDataFrame([(1, "velmarite", "the velmarite"), (2, "velma", "the velma"), (3, "quorvex", "the quorvex"), (4, "unheard", None), (5, "gatew", "the gatew")], "i int, last_word string, last_pair string")
+    assert {r.i for r in ad.broken_off(asked, ends).collect()} == {2, 3, 5}
