@@ -38,18 +38,30 @@ PLACEHOLDERS = frozenset(
     "nincs üres hiányzik válasz összefoglaló leer keine fehlt antwort zusammenfassung vide aucun aucune manquant réponse résumé "
     "vacío ninguno ninguna falta respuesta resumen vazio nenhum nenhuma resposta resumo нет пусто отсутствует ответ резюме".split()
 )
-# Words with which a writer declines, in order, without accents, by language; '|' parts alternatives.
+# Words with which a writer declines, in order, without accents, by language; '|' parts alternatives. After a '~' the
+# template only says that the writer can or will not, so what is declined must follow (ACTS), unless the clause ends there or the text apologises.
 REFUSALS = (
-    "i cannot|cant|couldnt|wont", "i can not|t", "i could not", "i am|m unable", "i am|m not able|allowed|comfortable|permitted", "i won t", "i will not", "i must|have|need decline|refuse", "i decline|refuse", "i do not feel comfortable", "i don t feel comfortable", "i would|d|ll rather|prefer not", "i prefer not",
-    "i have|must|need|will leave unanswered", "not something i can|could|may|will", "outside|beyond what i may|can|could", "not possible for me", "impossible for me", "we cannot help", "we are unable", "assistant does not respond|answer|comment this",
+    "i cannot|cant|couldnt|wont ~", "i can not|t ~", "i could not ~", "i am|m not going ~", "i am|m unable ~", "i am|m not able|allowed|comfortable|permitted ~", "i won t ~", "i will not ~", "i must|have|need decline|refuse", "i decline|refuse", "i do not feel comfortable", "i don t feel comfortable", "i would|d|ll rather|prefer not", "i prefer not",
+    "i have|must|need|will leave unanswered", "not something i can|could|may|will", "outside|beyond what i may|can|could", "not possible for me", "impossible for me", "we cannot help", "we are unable ~", "assistant does not respond|answer|comment this",
     "my rules|guidelines|instructions|policy|policies leave|leaves|give|gives me no", "my rules|guidelines|instructions|policy|policies forbid|forbids|prevent|prevents|prohibit|prohibits", "conflicts with my rules|guidelines|instructions|policy|policies", "against my rules|guidelines|instructions|policy|policies",
     "nem tudok segiteni|valaszolni", "nem tudom osszefoglalni|megvalaszolni|leirni", "nem valaszolhatok|valaszolnek|valaszolok|segithetek", "nem adhatok|adok valaszt", "vissza kell utasitanom", "el kell utasitanom", "nem all modomban", "nem vagyok kepes", "kerest|keresedet|kereset|valaszt elutasitom|megtagadom", "elutasitom|megtagadom kerest|keresedet|kereset|valaszt",
-    "kann|darf|mochte|werde|will ich nicht", "ich kann|darf|mochte|werde|will nicht", "ist es mir nicht moglich", "es ist mir nicht moglich", "muss ich ablehnen|verweigern", "ich muss ablehnen|verweigern", "ich bin nicht in der lage", "bin ich nicht in der lage", "ich lehne ab", "lehne ich ab",
-    "je ne peux|saurais|puis|souhaite", "je ne suis pas en mesure", "il m est impossible", "il ne m est pas possible", "je dois refuser|decliner", "je refuse|decline", "je prefere ne pas",
-    "no puedo", "no me es posible", "no estoy en condiciones", "no soy capaz", "debo rechazar|declinar", "tengo que rechazar|declinar", "me es imposible", "prefiero no responder|contestar|comentar|describir|resumir", "rechazo esta|su|tu solicitud|peticion",
-    "nao posso|consigo", "nao me e possivel", "nao sou capaz", "nao estou em condicoes", "devo recusar|declinar", "tenho de|que recusar", "e me impossivel", "prefiro nao responder|comentar|descrever|resumir", "recuso este|esse|o|seu pedido",
-    "я не могу|смогу|буду", "не могу|смогу|буду помочь|ответить|отвечать|описать|обобщить|комментировать", "я не в состоянии", "вынужден|вынуждена отказаться|отказать|отклонить", "я должен|должна отказаться|отказать|отклонить", "мне невозможно", "предпочитаю не отвечать|комментировать", "я отклоняю|отказываюсь",
+    "kann|darf|mochte|werde|will ich nicht ~", "ich kann|darf|mochte|werde|will nicht ~", "ist es mir nicht moglich", "es ist mir nicht moglich", "muss ich ablehnen|verweigern", "ich muss ablehnen|verweigern", "ich bin nicht in der lage", "bin ich nicht in der lage", "ich lehne ab", "lehne ich ab", "mochte ich mich nicht",
+    "je ne peux|saurais|puis|souhaite ~", "je ne suis pas en mesure", "il m est impossible", "il ne m est pas possible", "je dois refuser|decliner", "je refuse|decline", "je prefere ne pas",
+    "no puedo ~", "no me es posible", "no estoy en condiciones", "no soy capaz", "debo rechazar|declinar", "tengo que rechazar|declinar", "me es imposible", "prefiero no responder|contestar|comentar|describir|resumir", "rechazo esta|su|tu solicitud|peticion",
+    "nao posso|consigo ~", "nao me e possivel", "nao sou capaz", "nao estou em condicoes", "devo recusar|declinar", "tenho de|que recusar", "e me impossivel", "prefiro nao responder|comentar|descrever|resumir", "recuso este|esse|o|seu pedido",
+    "я не могу|смогу|буду ~", "не могу|смогу|буду помочь|ответить|отвечать|описать|обобщить|комментировать", "я не в состоянии", "вынужден|вынуждена отказаться|отказать|отклонить", "я должен|должна отказаться|отказать|отклонить", "мне невозможно", "предпочитаю не отвечать|комментировать", "я отклоняю|отказываюсь",
 )
+# Beginnings of the words for what a writer declines to do, without accents.
+ACTS = (
+    "help", "assist", "answer", "respond", "reply", "summar", "descri", "comment", "discuss", "provid", "produc", "writ", "generat", "creat", "complet", "fulfil", "comply", "process", "translat", "explain", "shar", "say", "tell", "speak", "do", "give", "offer", "continue", "proceed", "disclos", "engag", "support", "elaborat", "paraphras", "analy", "interpret",
+    "helf", "beantwort", "antwort", "zusammen", "beschreib", "auser", "aussern", "komment", "liefer", "erstell", "geben", "bearbeit", "erfull", "unterstutz",
+    "aider", "repond", "resum", "decri", "fourni", "trait", "partag", "donner", "produi", "acced",
+    "ayudar", "contest", "describ", "coment", "proporcion", "dar", "atend", "compart",
+    "ajudar", "descrev", "fornec",
+    "помо", "ответ", "отвеч", "обобщ", "опис", "коммент", "предостав", "резюм", "сдела", "напис", "обсужд",
+)
+# Beginnings of words of apology, and of a model speaking of itself, without accents.
+_APOLOGY = re.compile(r"\b(?:sorry|apolog|unfortunate|regret|sadly|language model|as an ai\b|sajn|elnez|nyelvi modell|leider|entschuld|tut mir leid|sprachmodell|desol|malheur|excuse|modele de langage|lo siento|lamento|lamentabl|modelo de l|desculp|infeliz|извин|сожал|прост|языков)")
 # The same without a first person; they hold only as a short clause of their own, as texts also tell of declined requests.
 REFUSED = (
     "request declined|denied|refused|rejected", "no summary|answer|description|comment will be given|provided|written", "answering|describing|summarising|summarizing|commenting|responding would not be appropriate|right|proper",
@@ -57,19 +69,25 @@ REFUSED = (
 )
 #: Words that may stand between two of a template, and those that may not, as they bring in another subject; further words of a short clause.
 REFUSAL_GAP, REFUSED_REST = 3, 3
+#: Among so many words after a template with '~' the act must stand.
+ACT_REACH = 6
 _OTHERS = frozenset("you he she they it that which who whether and or but if er sie wir dass und oder aber wenn tu il elle ils elles que qui et ou mais si y o pero ele ela eles mas ou он она они что и или но hogy vagy de aki".split())
-#: Verbs of reported speech: what follows them in a sentence is not the writer's own.
+#: Verbs of reported speech: what follows them in a sentence is not the writer's own, unless the writer is who speaks.
+_SELF = frozenset("i ich je yo eu я en".split())
 _REPORTS = frozenset("says said say states stated answers answered replies replied reports writes sagt sagte antwortet meldet schreibt lautet dit repond indique affirme dice responde indica diz afirma говорит отвечает пишет сообщает mondja valaszolja irja kozli".split())
 
 
-def _templates(phrases: tuple[str, ...], whole: bool) -> Iterator[tuple[tuple[frozenset[str], ...], bool]]:
-    return ((tuple(frozenset(w.split("|")) for w in phrase.split()), whole) for phrase in phrases)
+def _templates(phrases: tuple[str, ...], whole: bool) -> Iterator[tuple[tuple[frozenset[str], ...], bool, bool]]:
+    for phrase in phrases:
+        words = phrase.split()
+        acts = words[-1] == "~"
+        yield tuple(frozenset(w.split("|")) for w in words[: len(words) - acts]), whole, acts
 
 
-_CORES_BY_FIRST: dict[str, list[tuple[tuple[frozenset[str], ...], bool]]] = {}
-for _core, _whole in (*_templates(REFUSALS, False), *_templates(REFUSED, True)):
-    for _word in _core[0]:
-        _CORES_BY_FIRST.setdefault(_word, []).append((_core, _whole))
+_CORES_BY_FIRST: dict[str, list[tuple[tuple[frozenset[str], ...], bool, bool]]] = {}
+for _template in (*_templates(REFUSALS, False), *_templates(REFUSED, True)):
+    for _word in _template[0][0]:
+        _CORES_BY_FIRST.setdefault(_word, []).append(_template)
 
 _QUOTED = re.compile(r"`[^`]*`|\"[^\"]*\"|“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|‘[^‘’]*’(?!\w)")
 _CLAUSE = re.compile(r"[^.!?。！？؟;:\n]+[.!?。！？؟;:\n]?")
@@ -78,6 +96,7 @@ _WORD_OR_COMMA = re.compile(r"[^\W_]+|,")
 _TOKEN = re.compile(r"[^\W_]+")
 _END_MARK = re.compile(r"[.!?。！？؟](?:[\"'»”’)\]*_`\s​]*)$")
 _BROKEN_MARK = re.compile(r"(?:[,;:(\[{/\\–—-]|…|\.\.\.)[\"'»”’)\]*_\s​]*$")
+_BARE_NUMBER = re.compile(r"(?:^|[\s:])(\d{1,3})[.)]\s*$")
 _CLOSERS = "\"'»”’)]*_ \t\r\n ​"
 
 
@@ -94,46 +113,55 @@ def is_empty(text: str | None) -> bool:
     if text is None:
         return True
     words = _TOKEN.findall(text.lower())
-    return len(words) <= 4 and all(w in PLACEHOLDERS for w in words)
+    return all(w in PLACEHOLDERS for w in words)
 
 
 def is_refusal(text: str) -> bool:
     """Some clause of the text, wherever it stands, aligns with a refusal template.
 
     Quoted words, questions and reported speech are not the writer's own. Between two words of a template up to REFUSAL_GAP others
-    may stand, but no other subject and no lone comma.
+    may stand, but no other subject and no lone comma. "I cannot" alone declines nothing: see ACTS.
     """
     text = text.strip()
     own = _QUOTED.sub(" ", text)
     if not _TOKEN.search(own):
         own = text.strip("\"“”„«»‘’`")  # all of it is quoted, as a decoration
-    for clause in _CLAUSE.findall(without_accents(own).lower()):
+    plain = without_accents(own).lower()
+    sorry = _APOLOGY.search(plain) is not None
+    for clause in _CLAUSE.findall(plain):
         if clause[-1] in "?？؟":
             continue
         tokens = _WORD_OR_COMMA.findall(clause)
         for at, token in enumerate(tokens):
-            if token in _REPORTS:
+            if token in _REPORTS and not _SELF.intersection(tokens[:at]):
                 break
-            for core, whole in _CORES_BY_FIRST.get(token, ()):
+            for core, whole, acts in _CORES_BY_FIRST.get(token, ()):
                 if whole and (at > 1 or len(tokens) > len(core) + REFUSED_REST):
                     continue
-                if _aligns(core, tokens, at):
+                stop = _aligned(core, tokens, at)
+                if stop and (not acts or sorry or _declines(tokens[stop:])):
                     return True
     return False
 
 
-def _aligns(core: tuple[frozenset[str], ...], tokens: list[str], at: int) -> bool:
-    """The rest of the template follows tokens[at], each word at most REFUSAL_GAP words after the one before."""
+def _declines(rest: list[str]) -> bool:
+    """What follows "I cannot" is nothing, or soon the act."""
+    words = [w for w in rest if w != ","]
+    return not words or any(w.startswith(ACTS) for w in words[:ACT_REACH])
+
+
+def _aligned(core: tuple[frozenset[str], ...], tokens: list[str], at: int) -> int:
+    """Where the template ends that begins at tokens[at], each word at most REFUSAL_GAP words after the one before; 0 if it does not fit."""
     if len(core) == 1:
-        return True
+        return at + 1
     commas = 0
     for i in range(at + 1, min(len(tokens), at + 2 + REFUSAL_GAP)):
-        if tokens[i] in core[1] and commas != 1 and _aligns(core[1:], tokens, i):
-            return True
+        if tokens[i] in core[1] and commas != 1 and (stop := _aligned(core[1:], tokens, i)):
+            return stop
         if tokens[i] in _OTHERS:
-            return False
+            return 0
         commas += tokens[i] == ","
-    return False
+    return 0
 
 
 def lcs(a, b) -> int:
@@ -149,16 +177,20 @@ def lcs(a, b) -> int:
 
 
 def copies_question(answer: list[str], questions: list[list[str]]) -> bool:
-    """The answer is made up of questions: their shingles cover most of it, and each stretch aligns with a whole question."""
-    questions = [q for q in questions if len(q) >= 3]
-    if len(answer) < 3 or not questions:
+    """The answer is made up of questions: their shingles cover most of it, and each stretch aligns with a whole question.
+
+    Shingles are pairs of words, or single words where a text is too short to have enough pairs.
+    """
+    questions = [q for q in questions if q]
+    if not answer or not questions:
         return False
-    k = 2
+    k = 2 if min(len(answer), *map(len, questions)) > 2 else 1
     known = {tuple(q[i : i + k]) for q in questions for i in range(len(q) - k + 1)}
     shingles = [tuple(answer[i : i + k]) for i in range(len(answer) - k + 1)]
     if sum(s in known for s in shingles) < 0.4 * len(shingles):
         return False
-    allowed, rest, at, found = max(2, int(COPY_REST * len(answer))) if len(answer) >= 6 else 1, 0, 0, False
+    spare = 2 if len(answer) >= 6 else len(answer) // 3
+    allowed, rest, at, found = max(spare, int(COPY_REST * len(answer))), 0, 0, False
     while at < len(answer):
         best, best_stop, best_hits = 0.0, at, 0
         for q in questions:
@@ -180,11 +212,17 @@ def copies_question(answer: list[str], questions: list[list[str]]) -> bool:
 
 
 def ending(text: str) -> bool | tuple[str, str | None]:
-    """Whether the text breaks off, by its marks; where they do not tell, its last word and last pair of words."""
-    if text.count("`") % 2 or text.count("(") > text.count(")"):
-        return True
-    if _BROKEN_MARK.search(text):
+    """Whether the text breaks off, by its marks; where they do not tell, its last word and last pair of words.
+
+    A bracket or code span that is never closed tells only if no sentence ends behind it, a list number only if it is the next one of
+    a list and has no item.
+    """
+    if _unclosed(text) or _BROKEN_MARK.search(text):
         return True
+    if m := _BARE_NUMBER.search(text):
+        before, n = text[: m.start(1)], int(m.group(1))
+        if before.rstrip()[-1:] in (":", "") or (n > 1 and re.search(rf"(?:^|[\s:]){n - 1}[.)]\s", before)):
+            return True
     if _END_MARK.search(text):
         return False
     bare = text.rstrip(_CLOSERS)
@@ -195,6 +233,18 @@ def ending(text: str) -> bool | tuple[str, str | None]:
     return (words[-1], " ".join(words[-2:]) if len(words) > 1 else None) if words else False
 
 
+def _unclosed(text: str) -> bool:
+    """An opened bracket or code span stays open to the end of the text, and no sentence ends behind it."""
+    at = text.rfind("`") if text.count("`") % 2 else -1
+    depth = 0
+    for m in reversed(list(re.finditer(r"[()]", text))):
+        depth += 1 if m.group() == ")" else -1
+        if depth < 0:
+            at = max(at, m.start())
+            break
+    return at >= 0 and not re.search(r"[.!?。！？؟][\"'»”’)\]*_]*(?:\s+\S|\s*$)", text[at + 1 :])
+
+
 def _words(text: str) -> list[str]:
     return [w.lower() for w in re.split(r"\s+", text.strip()) if w]
 

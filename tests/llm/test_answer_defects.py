@@ -47,13 +47,16 @@ def test_no_refusal(judged, text):
 
 @pytest.mark.parametrize(
     "text",
-    ["Ezt a kérést a szabályaim miatt elutasítom.", "Erre a tartalomra nem adhatok választ.", "Diese Anfrage muss ich ablehnen.", "Cette demande est refusée.", "My rules leave me no room to comment on this section.", "Answering this would not be appropriate.", "The assistant does not respond to this kind of content.", "The section names a load balancer and a retry policy. I, regrettably, cannot say more about it."],
+    ["Ezt a kérést a szabályaim miatt elutasítom.", "Erre a tartalomra nem adhatok választ.", "Diese Anfrage muss ich ablehnen.", "Cette demande est refusée.", "My rules leave me no room to comment on this section.", "Answering this would not be appropriate.", "The assistant does not respond to this kind of content.", "The section names a load balancer and a retry policy. I, regrettably, cannot say more about it.",
+     "The passage describes a cache. I'm sorry, but I can't help with that.", "Unfortunately this request falls outside what I can provide.", "As an AI I'm not going to answer that.",
+     "Thank you so much for the detailed section you sent over; after reading it carefully twice I regret that I cannot answer.",
+     "I am so very sorry, but unfortunately, I am afraid, I regret to say that after reading the text I cannot answer the question.", "I cannot."],
 )
 def test_refusal_wherever_it_stands(text):
     assert ad.is_refusal(text)
 
 
-@pytest.mark.parametrize("text", ["The gateway logs each request declined by the proxy.", "The gateway says that I cannot pass when the quota is used up.", "A log line of «je ne peux pas» ends the session.", "No hay problema, puedo verlo en el registro.", "Az átjáró a második próbálkozásra elutasítja a kérést.", "What if I cannot restore the gateway?", "This section describes why a reviewer must refuse a draft without sources."])
+@pytest.mark.parametrize("text", ["The gateway logs each request declined by the proxy.", "The gateway says that I cannot pass when the quota is used up.", "A log line of «je ne peux pas» ends the session.", "No hay problema, puedo verlo en el registro.", "Az átjáró a második próbálkozásra elutasítja a kérést.", "What if I cannot restore the gateway?", "This section describes why a reviewer must refuse a draft without sources.", "I cannot overstate how important caching is.", "We found that I cannot pass the gateway twice."])
 def test_told_refusal_is_none(text):
     assert not ad.is_refusal(text)
 
@@ -63,6 +66,20 @@ def test_copies(judged, text):
     assert one(judged, text) == {("short_desc", "copies_question")}
 
 
+@pytest.mark.parametrize(("question", "answer", "copy"), [("Why cache?", "Why cache?", True), ("Why?", "why", True), ("为什么缓存", "为什么缓存", True), ("Why?", "Because it is small", False), ("Why cache?", "Why cache is used is told in the second section", False)])
+def test_short_questions(question, answer, copy):
+    assert ad.copies_question(ad.folded(answer), [ad.folded(question)]) is copy
+
+
+def test_many_placeholders_are_empty():
+    assert ad.is_empty("n/a, n/a; none. TODO tbd missing") and not ad.is_empty("n/a, but see the index")
+
+
+@pytest.mark.parametrize(("text", "broken"), [("Steps follow: 1. the 2.", True), ("Steps:\n1.", True), ("The gateway has version 2.", False), ("It takes (see below. Then it ends. All is well.", False), ("It takes (see", True), ("The span `x. Then it ends.", False)])
+def test_marks_tell(text, broken):
+    assert (ad.ending(text) is True) is broken
+
+
 def test_repeats_and_goes_on(judged):
     assert one(judged, f"{Q[0]} The load balancer follows the tokenizer and the scheduler rebuilds the index before the nightly run.") == set()
 
