@@ -37,15 +37,28 @@ _LIST = re.compile(r"^\s*(?:[-*+•]\s|\d+[.)]\s|>)")
 _HEADING = re.compile(r"^\s{0,3}#{1,6}(?:\s|$)")
 _RULE = re.compile(r"^\s*(?:-{3,}|={3,}|\*{3,}|_{3,})\s*$")
 _INDENTED = re.compile(r"^(?: {4}|\t)")
-_CODE_LINE = re.compile(r"^\s*(?:\$ \S|\[\d\d:\d\d|\"[^\"]*\":|(?:const|let|var|def|import|from|return|class|function)\b.*[;=({:]|[\w.\[\]]+\s*[-+*/]?=\s)|[;{}]\s*$")
+_CODE_LINE = re.compile(r"^\s*(?:\$ \S|\[\d\d:\d\d|\"[^\"]*\":|[\w.\[\]]+\s*[-+*/]?=\s)")
+_KEYWORD_LINE = re.compile(r"^\s*(?:const|let|var|def|import|from|return|class|function)\b.*[;=({:]")
+#: So many words in a row are prose, whatever mark ends the line; a line that begins with a word of code needs more.
+_WORDS_IN_A_ROW = re.compile(r"(?:[^\W\d_]{2,},?\s+){3}[^\W\d_]{2,}")
+_MANY_WORDS_IN_A_ROW = re.compile(r"(?:[^\W\d_]{2,},?\s+){6}[^\W\d_]{2,}")
 _LONG = re.compile(r"(?<!\S)\S{60,}")
-_CODE = re.compile(r"`[^`\n]{0,400}`")
-_ADDRESS = re.compile(r"!\[[^\]\n]{0,200}\]\([^)\s]{0,400}\)|\]\([^)\s]{0,400}\)|https?://\S+|[^\s@]{1,64}@\S{1,64}|<[^<>\n]{1,200}>")
+_CODE = re.compile(r"`[^`\n]*`")
+_ADDRESS = re.compile(r"!\[[^\[\]\n]*\]\([^()\s]*\)|\]\([^()\s]*\)|https?://\S+|[^\s@]+@\S+|</?[A-Za-z!][^<>\n]*>")
 _ODD = re.compile("[​‌‍⁠﻿­]")
 _BREAK = re.compile("\r\n|[\r  \x85\x0b\x0c]")
 _END = re.compile(r"[.!?…]+[\"'»”’)\]*_]*(?=\s|$)|。+")
 
 
+def _is_code(line: str, last: str) -> bool:
+    """A line of code by its beginning, or by its last mark if no words in a row speak for prose."""
+    if _CODE_LINE.search(line):
+        return True
+    if _KEYWORD_LINE.search(line):
+        return not _MANY_WORDS_IN_A_ROW.search(line)
+    return last in (";", "{", "}") and not _WORDS_IN_A_ROW.search(line)
+
+
 def prose_blocks(text: str) -> list[str]:
     """The prose of a Markdown text, a block a paragraph or list item; code, tables and headings are left out."""
     text = _BREAK.sub("\n", _ODD.sub("", text))
@@ -62,7 +75,7 @@ def prose_blocks(text: str) -> list[str]:
         if first in "`~" and (m := _FENCE.match(line)):
             fence, fresh = m.group(1)[:3], True
             continue
-        if first in "|#-=*_" and (first in "|" or _HEADING.match(line) or _RULE.match(line)) or (first in '$["' or "=" in line or bare.rstrip()[-1:] in ";{}(:") and _CODE_LINE.search(line):
+        if first in "|#-=*_" and (first in "|" or _HEADING.match(line) or _RULE.match(line)) or (first in '$["' or "=" in line or bare.rstrip()[-1:] in ";{}(:") and _is_code(line, bare.rstrip()[-1:]):
             fresh = True  # also a blank line, whose first character is empty
             continue
         listed = first in "-*+•>" or first.isdigit()
@@ -232,14 +245,17 @@ def strip_accents(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
-_EVIDENCE = "doc_id long, scores array<double>, n_words int, whole array<int>, segments array<struct<start:int,stop:int,n_words:int,lang:string,confidence:double>>"
+#: The log-likelihoods of all sentences are kept only where clear enough sentences are in two or more languages by their text.
+_EVIDENCE = "doc_id long, scores array<double>, n_words int, whole array<int>, sents array<struct<s:array<float>,n:int,ended:boolean>>"
+#: Share of a document's sentences that need not follow the document's own evidence.
+FREE_SENTENCES = 0.1
 
 
 def _text_evidence(model, languages: tuple[str, ...], min_words: int, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: TextModel = model.value
         k = len(languages)
-        schema = pa.schema([("doc_id", pa.int64()), ("scores", pa.list_(pa.float64())), ("n_words", pa.int32()), ("whole", pa.list_(pa.int32())), ("segments", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])))])
+        schema = pa.schema([("doc_id", pa.int64()), ("scores", pa.list_(pa.float64())), ("n_words", pa.int32()), ("whole", pa.list_(pa.int32())), ("sents", pa.list_(pa.struct([("s", pa.list_(pa.float32())), ("n", pa.int32()), ("ended", pa.bool_())])))])
         for batch in batches:
             out: list[dict] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -248,25 +264,54 @@ def _text_evidence(model, languages: tuple[str, ...], min_words: int, margin: fl
                     for s, end in sentences(block):
                         if words := WORD.findall(s.lower()):
                             parts.append(words), ended.append(end)
-                whole, segments, total, n = [0] * k, [], np.zeros(k), 0
+                whole, sents, total, n = [0] * k, [], np.zeros(k), 0
                 if parts:
                     rows = m.by_sentence(parts)
-                    best = rows.argmax(1)
                     sizes = np.array([len(p) for p in parts])
-                    ordered = np.sort(rows, axis=1)
-                    sure = (ordered[:, -1] - ordered[:, -2] >= margin) & (sizes >= min_words) & np.array(ended)
+                    best, sure = _clear(rows, sizes, np.array(ended), min_words, margin)
                     for x in best[sure]:
                         whole[x] += 1
                     total, n = rows.sum(0), int(sizes.sum())
-                    if sum(c > 0 for c in whole) > 1:
-                        segments = _segments(rows, sizes, sure, best, languages)
-                out.append({"doc_id": doc_id, "scores": total.tolist(), "n_words": n, "whole": whole, "segments": segments})
+                    if len(set(best[(sizes >= min_words) & np.array(ended)])) > 1:
+                        sents = [{"s": r, "n": size, "ended": e} for r, size, e in zip(rows.tolist(), sizes.tolist(), ended)]
+                out.append({"doc_id": doc_id, "scores": total.tolist(), "n_words": n, "whole": whole, "sents": sents})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
 
 
-def _segments(rows: np.ndarray, sizes: np.ndarray, sure: np.ndarray, best: np.ndarray, languages: tuple[str, ...]) -> list[dict]:
+def _clear(rows: np.ndarray, sizes: np.ndarray, ended: np.ndarray, min_words: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each sentence's best language, and whether it is a whole sentence of enough words in which that language is clear."""
+    ordered = np.sort(rows, axis=1)
+    return rows.argmax(1), (ordered[:, -1] - ordered[:, -2] >= margin) & (sizes >= min_words) & ended
+
+
+def _fused_sentences(languages: tuple[str, ...], base: list[float], min_words: int, margin: float, free: float):
+    """Settles the documents that came with sentences: each sentence's likelihood times its prior, which is the document's (label,
+    suffix, host) but for a share `free` that follows the distribution over all documents.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("label_lang", pa.string()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_words", pa.int32()), ("whole", pa.list_(pa.int32())), ("segments", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, segments = batch.column("whole").to_pylist(), []
+            for i, (prior, sents) in enumerate(zip(batch.column("prior").to_pylist(), batch.column("sents").to_pylist())):
+                segments.append([])
+                if sents:
+                    p = np.exp(np.array(prior) - max(prior))
+                    prior = np.log((1 - free) * p / p.sum() + free * np.array(base))
+                    sizes = np.array([x["n"] for x in sents])
+                    fused = np.array([x["s"] for x in sents], np.float64) + prior
+                    best, sure = _clear(fused, sizes, np.array([x["ended"] for x in sents]), min_words, margin)
+                    whole[i] = np.bincount(best[sure], minlength=len(languages)).tolist()
+                    if len(set(best[sure])) > 1:
+                        segments[i] = _segments(fused, prior, sizes, sure, best, languages)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label_lang", "lang", "confidence", "n_words")), pa.array(whole, schema.field("whole").type), pa.array(segments, schema.field("segments").type)], schema=schema)
+
+    return run
+
+
+def _segments(rows: np.ndarray, prior: np.ndarray, sizes: np.ndarray, sure: np.ndarray, best: np.ndarray, languages: tuple[str, ...]) -> list[dict]:
     """Runs of sentences of one language; a short or unclear sentence goes with the sentence before it."""
     runs: list[list[int]] = []
     current = None
@@ -283,7 +328,7 @@ def _segments(rows: np.ndarray, sizes: np.ndarray, sure: np.ndarray, best: np.nd
             runs.append([i, i + 1])
     out = []
     for start, stop in runs:
-        total = rows[start:stop].sum(0)
+        total = (rows[start:stop] - prior).sum(0) + prior  # the prior counts once a segment
         p = np.exp(total - total.max())
         x = int(total.argmax())
         out.append({"start": start, "stop": stop, "n_words": int(sizes[start:stop].sum()), "lang": languages[x], "confidence": float(p[x] / p.sum())})
@@ -291,7 +336,7 @@ def _segments(rows: np.ndarray, sizes: np.ndarray, sure: np.ndarray, best: np.nd
 
 
 def text_evidence(docs: DataFrame, model, languages: tuple[str, ...] = LANGUAGES, min_words: int = SENTENCE_WORDS, margin: float = SENTENCE_MARGIN) -> DataFrame:
-    """(doc_id, scores, n_words, whole, segments): summed word log-likelihoods, and clear whole sentences by language."""
+    """(doc_id, scores, n_words, whole, sents): summed word log-likelihoods, clear whole sentences by language, sentences of documents that may be mixed."""
     return docs.select("doc_id", "text").mapInArrow(_text_evidence(model, tuple(languages), min_words, margin), _EVIDENCE)
 
 
@@ -310,7 +355,7 @@ def detect_languages(docs: DataFrame, codes: DataFrame, languages: tuple[str, ..
     """One row a document: (doc_id, label_lang, lang, confidence, n_words, whole, segments).
 
     posterior(l) ~ likelihood(text | l) x P(label | l) x P(suffix | l) / P(suffix) x prior(l | host), where the host prior leans on its
-    domain's and that on the overall distribution. A null, blank or prose-free text has lang null and confidence null.
+    domain's and that on the overall distribution. The sentences of documents that may be mixed are settled with the same prior. A null, blank or prose-free text has lang null and confidence null.
     Repeated doc_ids give a row each. Extra columns are ignored.
     """
     if model is None:
@@ -345,19 +390,23 @@ def detect_languages(docs: DataFrame, codes: DataFrame, languages: tuple[str, ..
     def log_prior(i: int) -> Column:
         domain = F.coalesce(F.element_at("p_domain", i + 1), F.lit(base[i]))
         return F.log((F.coalesce(F.col(f"h{i}"), F.lit(0)) + HOST_WEIGHT * domain) / (F.coalesce(F.col("h"), F.lit(0)) + HOST_WEIGHT))
-    def posterior(i: int) -> Column:
+    def metadata(i: int) -> Column:
         label = F.when(F.col("label_lang").isNull(), 0.0).otherwise(F.coalesce(F.element_at(F.element_at(label_map, F.col("label_lang")), i + 1), F.lit(0.0)))
         suffix = F.coalesce(F.log(F.element_at("p_suffix", i + 1) / base[i]), F.lit(0.0))
-        return F.element_at("scores", i + 1) + log_prior(i) + label + suffix
-    fused = full.withColumn("post", array(posterior)).withColumn("top", F.array_max("post"))
+        return log_prior(i) + label + suffix
+    fused = full.withColumn("prior", array(metadata)).withColumn("post", F.zip_with("scores", "prior", lambda a, b: a + b)).withColumn("top", F.array_max("post"))
     codes_array = F.array(*map(F.lit, languages))
     has_prose = F.col("n_words") >= MIN_PROSE_WORDS
-    return fused.select(
+    settled = fused.select(
         "doc_id", "label_lang",
         F.when(has_prose, F.element_at(codes_array, F.array_position("post", F.col("top")).cast("int"))).alias("lang"),
         F.when(has_prose, 1.0 / F.aggregate("post", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))).alias("confidence"),
-        "n_words", "whole", "segments",
+        "n_words", "whole", "prior", "sents",
     )
+    return settled.mapInArrow(
+        _fused_sentences(tuple(languages), base, SENTENCE_WORDS, SENTENCE_MARGIN, FREE_SENTENCES),
+        "doc_id long, label_lang string, lang string, confidence double, n_words int, whole array<int>, segments array<struct<start:int,stop:int,n_words:int,lang:string,confidence:double>>",
+    )
 
 
 def _with_meta(run):

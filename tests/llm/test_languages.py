@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from corvane.llm import languages as lg
@@ -18,6 +19,28 @@ def test_prose_leaves_out_code_tables_and_headings():
     assert lg.prose_blocks("") == [] and lg.sentences("no end")[0][1] is False
 
 
+def test_no_prose_line_goes_for_its_last_mark_and_no_span_is_too_long():
+    line = "Costs rise every single year in this trade"
+    for mark in (";", ":", "(", "{", "}", "."):
+        assert lg.prose_blocks(line + mark) == [line + mark]
+    assert lg.prose_blocks("from the start it was clear that the index grows (slowly):")
+    for code in ("return a;", "const a = b(7);", "class Foo extends Bar {", "}", "foo.bar(1);", "import os, sys;", "x = 1", "for (;;) {"):
+        assert lg.prose_blocks(code) == [], code
+    for n in (100, 10_000):
+        assert lg.WORD.findall(lg.plain_prose("Before `" + "word " * n + "` after.")) == ["Before", "after"]
+        assert lg.WORD.findall(lg.plain_prose("Before [" + "text " * n + "](a/b.md) ![" + "alt " * n + "](x.png) after.")) == ["Before", *["text"] * n, "after"]
+
+
+def test_a_sentence_leans_on_the_documents_evidence():
+    """A sentence that its words leave open is settled by the document's prior, a clear one is not."""
+    settle = lg._fused_sentences(("en", "hu"), [0.5, 0.5], 8, 4.0, 0.1)
+    sents = lambda *rows: [{"s": list(r), "n": 9, "ended": True} for r in rows]
+    rows = {"prior": [[0.0, -9.0], [0.0, -9.0]], "sents": [sents((0, -9.0), (-5.0, 0)), sents((0, -9.0), (-30.0, 0))]}
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "label_lang": ["en"] * 2, "lang": ["en"] * 2, "confidence": [1.0] * 2, "n_words": [18] * 2, "whole": [[1, 1]] * 2, **rows})
+    out = next(settle(iter([batch]))).to_pydict()
+    assert out["whole"] == [[1, 0], [1, 1]] and out["segments"][0] == [] and [x["lang"] for x in out["segments"][1]] == ["en", "hu"]
+
+
 def test_held_out_accuracy(spark, model):
     """Against the labels of documents that the model was not fitted on: the labels themselves are wrong in a few of a hundred."""
     docs, codes = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "lang_codes")
