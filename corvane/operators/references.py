@@ -1,20 +1,22 @@
 """References to records that do not exist at the reference's own time.
 
-Keys are dictionary-encoded as (key_range, pos). For every key range and month there is a compressed bitmap of the keys
-that are referenced and one of the keys that are there for the whole month; referenced AND-NOT there leaves the keys
-whose references need a look at the exact times, and its bits are decoded back to keys.
+Keys are dictionary-encoded as (key_range, pos). For every key range there are compressed bitmaps: of the keys referenced in a month, of
+those whose first row begins in a month, and of those that are there from one month to another without a gap. All three kinds of
+orphans are bits that survive an AND-NOT: referenced AND-NOT ever there is missing; of the rest, AND-NOT begun by the month's end is
+late; of the rest, AND-NOT there for the whole month is in doubt, and exact times settle it. Surviving bits are decoded back to keys.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corvane.session import cut
+from corvane.session import cut, salted_join
 
 #: Bits of one bitmap, which is what bitmap_construct_agg() makes; keys a range on average.
 BITMAP_BITS = 32_768
@@ -46,9 +48,7 @@ def _compress(bitmaps: pd.Series) -> pd.Series:
     return bitmaps.map(one)
 
 
-def _bits(packed: bytes | None) -> np.ndarray:
-    if packed is None:
-        return np.zeros(BITMAP_BITS // 8, np.uint8)
+def _bits(packed: bytes) -> np.ndarray:
     if packed[:1] == b"b":
         return np.frombuffer(packed, np.uint8, offset=1)
     flags = np.zeros(BITMAP_BITS, np.uint8)
@@ -56,15 +56,45 @@ def _bits(packed: bytes | None) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _and_not(referenced: pd.Series, there: pd.Series) -> pd.Series:
-    """Positions of referenced AND-NOT there."""
-    return pd.Series([np.flatnonzero(np.unpackbits(_bits(r) & ~_bits(t), bitorder="little")).astype(np.int32) for r, t in zip(referenced, there)])
+def _flags(packed: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(_bits(packed), bitorder="little"))
 
 
-def _bitmaps(rows: DataFrame, out: str) -> DataFrame:
-    """A compressed bitmap of pos for each (key_range, month); duplicates are combined in each task before the shuffle."""
-    return rows.groupBy("key_range", "month").agg(F.bitmap_construct_agg(F.col("pos").cast("long")).alias("raw")).select("key_range", "month", _compress("raw").alias(out))
+#: Bitmaps of one key range: (what, lo, hi, packed), months as year x 12 + month - 1.
+_REFERENCED, _BEGUN, _THERE = 0, 1, 2
+_NO_MONTH = -1
+
+
+def _survivors(rows: pa.Table) -> pa.Table:
+    """The bits of one key range that no parent accounts for: (key_range, month, pos, verdict)."""
+    cols = {c: rows.column(c).to_pylist() for c in ("what", "lo", "hi", "packed")}
+    maps = sorted(zip(*cols.values()), key=lambda r: r[:3])
+    begun = np.full(BITMAP_BITS, 1 << 30, np.int32)
+    for _, lo, _, packed in (r for r in maps if r[0] == _BEGUN):
+        begun[_flags(packed)] = lo
+    ever = np.packbits(begun < 1 << 30, bitorder="little")
+    there, until, at = [r for r in maps if r[0] == _THERE], np.full(BITMAP_BITS, -1, np.int32), 0
+    month, pos, verdict = [], [], []
+    for _, m, _, packed in (r for r in maps if r[0] == _REFERENCED):
+        referenced = _bits(packed)
+        while at < len(there) and there[at][1] <= m:
+            bits = _flags(there[at][3])
+            until[bits] = np.maximum(until[bits], there[at][2])
+            at += 1
+        by_then, whole = np.packbits(begun <= m, bitorder="little"), np.packbits(until >= m, bitorder="little")
+        left = {"missing": referenced & ~ever}
+        if m != _NO_MONTH:
+            left |= {"late": referenced & ever & ~by_then, "doubt": referenced & by_then & ~whole}
+        for name, bits in left.items():
+            found = np.flatnonzero(np.unpackbits(bits, bitorder="little"))
+            month.append(np.full(len(found), m, np.int32)), pos.append(found.astype(np.int32)), verdict.extend([name] * len(found))
+    flat = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32))
+    keys = pa.array(np.full(len(verdict), rows.column("key_range")[0].as_py() if rows.num_rows else 0, np.int32))
+    return pa.table({"key_range": keys, "month": flat(month), "pos": flat(pos), "verdict": pa.array(verdict, pa.string())})
+
+
+def _month(c: Column | str) -> Column:
+    return F.year(c) * 12 + F.month(c) - 1
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -74,21 +104,18 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     to, not including, stop (null: still there; a null start: from the beginning). kind says which key space is meant.
     orphan_kind: 'missing' if no parent row has the key, 'late' if `at` lies before all of them, 'removed' if none covers
     it. A null ref_value is no reference; with a null `at` only 'missing' is reported, with period null. Repeated
-    references and parent rows count once. Extra parent rows of one key, however many, meet a window by key and month.
+    references and parent rows count once. However many rows one key has: joins salt hot keys, a key is one bit a month, and exact times
+    meet by key and hour.
     """
     far_past, far_future = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"), F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
-    refs = refs.where("ref_value is not null").select("kind", "ref_table", "ref_field", "ref_key", "ref_value", F.col("at").cast("timestamp_ntz").alias("at")).distinct()
+    refs = refs.where("ref_value is not null").select("kind", "ref_table", "ref_field", "ref_key", F.col("ref_value").alias("key"), F.col("at").cast("timestamp_ntz").alias("at")).distinct()
     parents = (
         parents.where("key is not null")
         .select("kind", "key", F.coalesce(F.col("start").cast("timestamp_ntz"), far_past).alias("start"), F.coalesce(F.col("stop").cast("timestamp_ntz"), far_future).alias("stop"))
         .groupBy("kind", "key", "start").agg(F.max("stop").alias("stop"))
     )
-    keys = (
-        parents.groupBy("kind", "key").agg(F.min("start").alias("first_start"))
-        .unionByName(refs.select("kind", F.col("ref_value").alias("key"), F.lit(None).cast("timestamp_ntz").alias("first_start")).distinct())
-        .groupBy("kind", "key").agg(F.min("first_start").alias("first_start"))
-    )
-    keys = cut(keys)
+    refs, parents = cut(refs), cut(parents)
+    keys = cut(parents.select("kind", "key").unionByName(refs.select("kind", "key")).distinct())
     n_ranges = max(1, -(-keys.count() // KEYS_PER_RANGE))
     in_range = Window.partitionBy("key_range").orderBy("kind", "key")
     dictionary = cut(
@@ -98,44 +125,42 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     # A range of hashes holds its mean and a few standard deviations more; the encoding must never run over.
     if dictionary.where(F.col("pos") >= BITMAP_BITS).limit(1).count():
         raise RuntimeError("a key range ran over its bitmap")
-    known = refs.join(dictionary.withColumnRenamed("key", "ref_value"), ["kind", "ref_value"]).withColumn("month", F.date_format("at", "yyyy-MM"))
-    known = cut(known)
-    at_once = known.where("first_start is null or at < first_start").withColumn("orphan_kind", F.when(F.col("first_start").isNull(), "missing").otherwise("late"))
-    in_doubt = known.where("at >= first_start")
-
-    bounds = in_doubt.agg(F.date_trunc("month", F.min("at")).alias("low"), F.date_trunc("month", F.max("at")).alias("high")).first()  # one row
-    report = ["ref_table", "ref_field", "ref_key", "ref_value", "orphan_kind", F.col("month").alias("period")]
-    if bounds.low is None:
-        return at_once.select(*report).distinct()
-    low, high = F.lit(bounds.low), F.lit(bounds.high)
-    encoded = parents.join(dictionary.select("kind", "key", "key_range", "pos"), ["kind", "key"])
-    first = F.when(F.date_trunc("month", "start") == F.col("start").cast("timestamp"), F.col("start").cast("timestamp")).otherwise(F.add_months(F.date_trunc("month", "start"), 1).cast("timestamp"))
-    whole = (
-        encoded.withColumn("m0", F.greatest(first, low.cast("timestamp"))).withColumn("m1", F.least(F.add_months(F.date_trunc("month", "stop"), -1).cast("timestamp"), high.cast("timestamp")))
-        .where("m0 <= m1")
-        .select("key_range", "pos", F.explode(F.expr("sequence(m0, m1, interval 1 month)")).alias("m"))
-        .select("key_range", "pos", F.date_format("m", "yyyy-MM").alias("month"))
+    known = salted_join(refs, dictionary, ["kind", "key"], "inner")
+    known = cut(known.select("ref_table", "ref_field", "ref_key", F.col("key").alias("ref_value"), "at", "key_range", "pos", F.coalesce(_month("at"), F.lit(_NO_MONTH)).alias("month")))
+    encoded = cut(salted_join(parents, dictionary, ["kind", "key"], "inner").select("key_range", "pos", "start", "stop"))
+
+    # One row for each bit: what a month or a span of months says of a key. Spans stay spans, however long.
+    bit = lambda what, lo, hi: (F.lit(what).alias("what"), lo.alias("lo"), hi.alias("hi"))
+    month = _month("start")
+    first_whole = F.when(F.date_format("start", "dd HH:mm:ss.SSSSSS") == "01 00:00:00.000000", month).otherwise(month + 1)
+    spans = encoded.select("key_range", "pos", first_whole.alias("lo"), (_month("stop") - 1).alias("hi")).where("lo <= hi").groupBy("key_range", "pos", "lo").agg(F.max("hi").alias("hi"))
+    rows = (
+        known.select("key_range", "pos", *bit(_REFERENCED, F.col("month"), F.col("month"))).distinct()
+        .unionByName(encoded.groupBy("key_range", "pos").agg(F.min("start").alias("start")).select("key_range", "pos", *bit(_BEGUN, month, month)))
+        .unionByName(spans.select("key_range", "pos", *bit(_THERE, F.col("lo"), F.col("hi"))))
     )
-    referenced = _bitmaps(in_doubt.select("key_range", "pos", "month"), "referenced")
-    there = _bitmaps(whole, "there")
-    left = referenced.join(there, ["key_range", "month"], "left").select("key_range", "month", F.explode(_and_not("referenced", "there")).alias("pos"))
-    left = cut(left)
+    # Rows of a few bytes are brought together before they become bitmaps, so no half-filled bitmap is shuffled.
+    bitmaps = rows.repartition("key_range").groupBy("key_range", "what", "lo", "hi").agg(F.bitmap_construct_agg(F.col("pos").cast("long")).alias("raw")).select("key_range", "what", "lo", "hi", _compress("raw").alias("packed"))
+    left = cut(bitmaps.groupBy("key_range").applyInArrow(_survivors, "key_range int, month int, pos int, verdict string"))
+    judged = cut(salted_join(known, left, ["key_range", "month", "pos"], "inner"))
+    report = ["ref_table", "ref_field", "ref_key", "ref_value", "orphan_kind", F.date_format("at", "yyyy-MM").alias("period")]
+    by_bits = judged.where("verdict <> 'doubt'").withColumn("orphan_kind", F.col("verdict"))
 
     # Exact times, for what is left: is the latest stop of all rows that began by `at` later than `at`?
-    open_refs = in_doubt.join(left, ["key_range", "month", "pos"]).select("key_range", "pos", "month", F.col("at").alias("t"), F.lit(1).alias("is_ref"), F.lit(None).cast("timestamp_ntz").alias("stop"), "ref_table", "ref_field", "ref_key", "ref_value")
-    touched = left.select("key_range", "pos").distinct()
-    blocks = encoded.join(touched, ["key_range", "pos"]).withColumn("month", F.date_format("start", "yyyy-MM"))
-    null = F.lit(None).cast("string")
-    starts = blocks.select("key_range", "pos", "month", F.col("start").alias("t"), F.lit(0).alias("is_ref"), "stop", null.alias("ref_table"), null.alias("ref_field"), null.alias("ref_key"), null.alias("ref_value"))
-    # What earlier months carry over, one row a key and month, so a hot key's rows are spread over its months.
-    per_month = blocks.groupBy("key_range", "pos", "month").agg(F.max("stop").alias("month_stop")).unionByName(open_refs.select("key_range", "pos", "month", F.lit(None).cast("timestamp_ntz").alias("month_stop")).distinct())
-    per_month = per_month.groupBy("key_range", "pos", "month").agg(F.max("month_stop").alias("month_stop"))
-    earlier = Window.partitionBy("key_range", "pos").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_month.select("key_range", "pos", "month", F.max("month_stop").over(earlier).alias("carried"))
-    so_far = Window.partitionBy("key_range", "pos", "month").orderBy("t", "is_ref").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    settled = open_refs.unionByName(starts).withColumn("latest", F.max("stop").over(so_far)).where("is_ref = 1").join(carried, ["key_range", "pos", "month"])
-    removed = settled.where("coalesce(greatest(latest, carried) <= t, true)").withColumn("orphan_kind", F.lit("removed"))
-    return at_once.select(*report).unionByName(removed.select(*report)).distinct()
+    key = ["key_range", "pos"]
+    hour = lambda c: F.date_format(c, "yyyy-MM-dd HH")
+    open_refs = judged.where("verdict = 'doubt'")
+    asked = open_refs.select(*key, F.col("at").alias("t"), F.lit(1).alias("is_ref"), F.lit(None).cast("timestamp_ntz").alias("stop")).distinct()
+    starts = salted_join(encoded, open_refs.select(*key).distinct(), key, "left_semi").select(*key, F.col("start").alias("t"), F.lit(0).alias("is_ref"), "stop")
+    times = cut(asked.unionByName(starts).withColumn("hour", hour("t")))
+    # What earlier hours carry over, one row a key and hour, so a hot key's times are spread over its hours.
+    earlier = Window.partitionBy(*key).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = times.groupBy(*key, "hour").agg(F.max("stop").alias("hour_stop")).select(*key, "hour", F.max("hour_stop").over(earlier).alias("carried"))
+    so_far = Window.partitionBy(*key, "hour").orderBy("t", "is_ref").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = times.withColumn("latest", F.max("stop").over(so_far)).where("is_ref = 1").join(carried, [*key, "hour"]).select(*key, F.col("t").alias("at"), F.greatest("latest", "carried").alias("latest"))
+    settled = salted_join(open_refs, latest, [*key, "at"], "inner")
+    by_times = settled.where("coalesce(latest <= at, true)").withColumn("orphan_kind", F.when(F.col("latest").isNull(), "late").otherwise("removed"))
+    return by_bits.select(*report).unionByName(by_times.select(*report)).distinct()
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

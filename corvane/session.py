@@ -5,11 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a lookup table may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Bytes up to which it may be broadcast, whatever its number of rows.
+BROADCAST_BYTES = 32 << 20
+#: Rows of one key beyond which a join spreads them over several tasks.
+HOT_ROWS = 200_000
+#: Tasks over which rows with a null key are spread.
+NULL_SALTS = 1_000
 
 
 def build_session(cores: str = "*", shuffle_partitions: int | None = None) -> SparkSession:
@@ -62,13 +68,26 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() < cores else scan
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 8 a value, and those of texts and nested values."""
+    sizes = [F.lit(8 * len(df.columns))]
+    for f in df.schema.fields:
+        kind, name = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(name), F.lit(0)))
+        elif kind.startswith(("array", "struct", "map")):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)))
+    return sum(sizes[1:], sizes[0]).cast("long")
+
+
 def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most limit rows; counts no further than that."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether df has at most limit rows and BROADCAST_BYTES; reads no further than that many rows."""
+    size = df.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b")).first()  # one row
+    return size.n <= limit and size.b <= BROADCAST_BYTES
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast if it has at most limit rows; otherwise return it as it is, so that the join shuffles."""
+    """Mark df for broadcast if it has at most limit rows and BROADCAST_BYTES; otherwise return it as it is, so that the join shuffles."""
     return F.broadcast(df) if fits(df, limit) else df
 
 
@@ -77,14 +96,22 @@ def hinted(df: DataFrame, broadcast: bool) -> DataFrame:
     return F.broadcast(df) if broadcast else df
 
 
-def salted_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
+def salted_join(big: DataFrame, lookup: DataFrame, key: str | list[str], how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join a skewed big side with a lookup that has one row a key.
 
-    A lookup of at most BROADCAST_ROWS rows is broadcast. Beyond it each lookup row is repeated once a salt and the
-    big side's rows are spread over the salts by their whole content, so that one hot key is shared by `salts` tasks.
+    A lookup that fits() is broadcast. Beyond it the keys of more than hot_rows rows are counted (in each task before the shuffle): they are at most
+    rows / hot_rows keys. Their lookup rows are repeated once a salt, and the big side's rows of such a key are spread
+    over its salts by their whole content; all other keys are joined as they are. Rows with a null in the key match nothing and are spread too.
     """
+    keys = [key] if isinstance(key, str) else key
     if fits(lookup):
-        return big.join(F.broadcast(lookup), key, how)
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    many = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(many, [key, "_salt"], how).drop("_salt")
+        return big.join(F.broadcast(lookup), keys, how)
+    counts = big.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    hot = cut(counts.select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
+    some_null = F.lit(False)
+    for k in keys:
+        some_null = some_null | F.col(k).isNull()
+    salts = F.when(some_null, NULL_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = big.join(small(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), salts).cast("int")).drop("_salts")
+    many = lookup.join(small(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(many, [*keys, "_salt"], how).drop("_salt")

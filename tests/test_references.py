@@ -71,3 +71,33 @@ def test_values(spark):
 
     v = lambda s, p: spark.createDataFrame([(s,)], "v string").select(rf.reference_value(F.col("v"), p).alias("r")).first().r
     assert v(" .\\Docs\\A.md ", True) == "docs/a.md" and v("././a", True) == "./a" and v(" \t", True) is None and v(" ABC ", False) == "abc"
+
+
+def test_stray_dates_stay_spans(spark):
+    """A parent of a thousand years is one span, and a reference from long ago is found late."""
+    parents = [("a", "old", dt.datetime(1024, 3, 5), dt.datetime(2024, 5, 7, 3), 1), ("a", "new", dt.datetime(2024, 1, 9, 5), None, 1)]
+    refs = [("a", "t", "f", str(i), k, x, 1, "m") for i, (k, x) in enumerate([("old", dt.datetime(1901, 1, 1)), ("old", dt.datetime(2024, 5, 7, 2)), ("old", dt.datetime(2024, 5, 7, 3)), ("new", dt.datetime(1000, 1, 1)), ("new", dt.datetime(2024, 1, 9, 4)), ("new", dt.datetime(2024, 1, 9, 5)), ("old", dt.datetime(1024, 3, 4))])]
+    assert run(spark, refs, parents) == brute(refs, parents)
+
+
+def test_salted_join_of_hot_and_null_keys(spark, monkeypatch):
+    from corvane import session as ss
+
+    monkeypatch.setattr(ss, "BROADCAST_BYTES", 0)
+    big = spark.range(3_000).selectExpr("id", "case when id % 3 = 0 then null when id % 3 = 1 then 7 else id end as k", "id % 2 as j")
+    lookup = spark.range(3_000).selectExpr("id as k", "id % 2 as j", "id * 10 as v").unionByName(spark.sql("select 7L as k, 0L as j, 70L as v"))
+    for keys, how in (("k", "left"), (["k", "j"], "left"), (["k", "j"], "inner"), (["k", "j"], "left_semi")):
+        side = lookup.dropDuplicates([keys] if isinstance(keys, str) else keys)
+        side = side.drop("j") if isinstance(keys, str) else side
+        got = ss.salted_join(big, side, keys, how, hot_rows=100)
+        want = big.join(side, keys, how)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_no_broadcast_beyond_its_bytes(spark, monkeypatch):
+    from corvane import session as ss
+
+    wide = spark.range(50).selectExpr("id", "repeat('x', 10000) as s", "array(repeat('y', 10000)) as a")
+    assert ss.fits(wide)
+    monkeypatch.setattr(ss, "BROADCAST_BYTES", 900_000)
+    assert not ss.fits(wide) and ss.fits(wide.select("id")) and not ss.fits(wide.select("id"), 49)
