@@ -65,6 +65,12 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.atom_pieces(table(spark, d, "atoms"))
 
 
+def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each oversized body make up, against the body itself."""
+    once = table(spark, d, "atoms").select("atom_id", "body", F.md5("body").alias("source_md5")).dropDuplicates(["atom_id", "source_md5"])
+    return splitting.rebuilt(splitting.split_oversized(once, "body", ["atom_id", "source_md5"]), ["atom_id", "source_md5"])
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     docs = texts(spark, d, "documents", "doc_id", "text").withColumnRenamed("text", "_text")
     return packing.pack(tokens.with_token_counts(docs, F.col("_text")), "doc_id", "n_tokens")
@@ -99,10 +105,11 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_token_budget, p2_token_counts, p4_found, p4_counts, p5_found, p5_pieces, p6_containers, p7_mixture, p7_shares, p8_found, p8_languages, p8_segments)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_token_budget, p2_token_counts, p4_found, p4_counts, p5_found, p5_pieces, p5_rebuilt, p6_containers, p7_mixture, p7_shares, p8_found, p8_languages, p8_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_rebuilt": "SELECT DISTINCT atom_id, md5(body) AS source_md5, md5(body) AS body_md5, true AS within_limit, true AS overlaps_hold, true AS all_there FROM atoms WHERE length(body) + length(regexp_replace(body, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 4000",
         "p5_found": "SELECT DISTINCT atom_id FROM atoms WHERE length(body) + length(regexp_replace(body, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 4000",
     }

@@ -39,6 +39,36 @@ def test_cuts_prefer_headings_then_paragraphs_then_sentences():
     assert {p["cut"] for p in check("| a | b |\n" * 30, 60, 0)} == {"none", "line"}
 
 
+def test_a_fence_has_no_sections_and_no_paragraphs():
+    fence = "```sh\n" + "".join(f"# step {i}\n\nrun the thing number {i}\n" for i in range(20)) + "```\n"
+    text = "# Real\n\nText before it.\n\n" + fence + "\n## Next\n\nText behind it.\n"
+    sections, paragraphs, *_ = sp.boundaries(text)
+    assert sections == [0, text.index("## Next")] and not any(text.index("```sh") < x < text.rindex("```") for x in paragraphs)
+    assert {p["cut"] for p in check(text, 200, 0)} <= {"none", "line", "section", "paragraph"}
+    assert check(text, 10_000, 0)[0]["cut"] == "none"
+
+
+def test_packing_goes_over_levels_and_no_heading_stands_alone():
+    text = "# A\n\n" + "Nine words of a sentence stand here in line. " * 110 + "\n\n## B\n\nA short one.\n\n## C\n\nA short one as well.\n"
+    pieces = check(text, 4_000, 200)
+    assert len(pieces) == 2 and pieces[0]["units"] > 3_000 and text[pieces[1]["fresh"] : pieces[1]["stop"]].endswith("as well.\n")
+    text = "".join(f"## Part {i}\n\n" + "Some words stand here. " * (20 + 7 * i % 50) + "\n\n" for i in range(60))
+    for p in check(text, 1_000, 100):
+        assert not text[p["fresh"] : p["stop"]].rstrip().splitlines()[-1].startswith("#")
+    text = "# Title\n\n" + "word " * 5_000
+    assert all(p["units"] > 500 for p in check(text, 1_000, 0)[:-1])
+
+
+def test_rebuilt_finds_what_is_wrong(spark):
+    df = spark.createDataFrame([("a", "Sentence number one. " * 300, 1), ("b", "😀é" * 3_000, 2), (None, "z" * 9_000, 3), ("c", "short", 4), ("d", None, 5)], "atom_id string, body string, k int")
+    pieces = sp.split_oversized(df, "body", ["atom_id", "k"])
+    rows = sp.rebuilt(pieces, ["atom_id", "k"]).collect()
+    want = {r.k: r for r in df.selectExpr("k", "md5(body) as m").collect()}
+    assert {r.k for r in rows} == {1, 2, 3} and all(r.body_md5 == want[r.k].m and r.within_limit and r.overlaps_hold and r.all_there for r in rows)
+    bad = {r.k: r for r in sp.rebuilt(pieces.where("not (k = 1 and piece_no = 1)"), ["atom_id", "k"]).collect()}
+    assert not bad[1].all_there and bad[1].body_md5 != want[1].m and bad[2].all_there
+
+
 def test_overlap_begins_at_a_boundary():
     pieces = check("Some words of a sentence. " * 40, 200, 60)
     text = "Some words of a sentence. " * 40
