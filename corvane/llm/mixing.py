@@ -57,8 +57,14 @@ def mix_report(mixture: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def sized_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, source, n_tokens), checkpointed: the mixture needs the sizes twice, the tokenizer runs once."""
+    """(doc_id, source, n_tokens) of each different text of a source, checkpointed: the mixture needs the sizes twice, the tokenizer runs once.
+
+    A text that comes again under other doc_ids of its source stands once, under the smallest, so that the cap on repeats
+    holds for the text. Documents without a text stay apart.
+    """
     from corvane.llm.tokens import with_token_counts
 
-    rows = docs.select("doc_id", clean_label(F.col("source")).alias("source"), F.col("text").alias("_text"))
-    return cut(with_token_counts(rows, F.col("_text"), tokenizer))
+    key = F.coalesce(F.md5("text"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    rows = docs.select("doc_id", clean_label(F.col("source")).alias("source"), key.alias("text_key"), F.col("text").alias("_text"))
+    counted = with_token_counts(rows, F.col("_text"), tokenizer)
+    return cut(counted.groupBy("source", "text_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens")).select("doc_id", "source", "n_tokens"))

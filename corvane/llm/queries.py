@@ -12,8 +12,8 @@ from corvane.session import cut, spread, table
 
 
 def texts(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
-    """The given columns of a table of texts, over all cores."""
-    return spread(table(spark, d, name).select(*columns))
+    """The given columns of a table of texts, or all of them, over all cores."""
+    return spread(table(spark, d, name).select(*columns or "*"))
 
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "source_path", "x_domain")
@@ -36,7 +36,7 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p2_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return texts(spark, d, "documents", *DOCUMENT_COLUMNS), texts(spark, d, "atoms", "atom_id", "body", "sources", "x_domain", "atom_type", "ingested_at", "removed_at"), table(spark, d, "lang_codes")
+    return texts(spark, d, "documents", *DOCUMENT_COLUMNS), texts(spark, d, "atoms"), table(spark, d, "lang_codes")
 
 
 def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:

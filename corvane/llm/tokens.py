@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.languages import host_key, label_language
@@ -21,20 +24,40 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 @lru_cache(maxsize=4)
 def encoding(path: str):
-    """The tokenizer of a rank file, loaded once a worker."""
+    """The tokenizer of a rank file, loaded once a worker: the copy that was shipped with the job, else the file itself."""
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(_local(path), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _local(path: str) -> str:
+    try:
+        shipped = SparkFiles.get(os.path.basename(path))
+    except Exception:  # no Spark in this process
+        return path
+    return shipped if os.path.exists(shipped) else path
+
+
+def ship(spark: SparkSession, path: str) -> None:
+    """Send the rank file to every worker, once an application."""
+    if (key := (spark.sparkContext.applicationId, path)) not in _shipped:
+        spark.sparkContext.addFile(path)
+        _shipped.add(key)
+
+
+_shipped: set[tuple[str, str]] = set()
+
+
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for batch in batches:
             at = batch.schema.get_field_index("_text")
-            n = [0 if t is None else len(enc.encode_to_numpy(_valid(t), disallowed_special=())) for t in batch.column(at).to_pylist()]
+            once = batch.column(at).dictionary_encode()  # a text that comes again in a batch is encoded once
+            sizes = np.array([0, *map(len, enc.encode_ordinary_batch([_valid(t) for t in once.dictionary.to_pylist()], num_threads=1))], np.int64)
+            n = sizes[once.indices.fill_null(-1).to_numpy() + 1]
             keep = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(n, pa.int64())], [*(batch.schema.field(i).name for i in keep), "n_tokens"])
 
@@ -56,6 +79,7 @@ def with_token_counts(df: DataFrame, text: Column, tokenizer: str = TOKENIZER) -
     Exact over the whole text; null has 0 tokens, as has the empty text. One narrow stage: only what df selects goes
     through the workers, and a batch is at most what spark.sql.execution.arrow.maxBytesPerBatch allows.
     """
+    ship(df.sparkSession, tokenizer)
     extra = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "_text")
     return df.withColumn("_text", text).mapInArrow(_count(tokenizer), f"{extra}, n_tokens long")
 
@@ -88,8 +112,17 @@ def document_counts(docs: DataFrame, codes: DataFrame, tokenizer: str = TOKENIZE
     return with_token_counts(rows, F.col("_text"), tokenizer)
 
 
+def row_key(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row, nulls told apart from absent values."""
+    whole = [x for f in df.columns for x in (F.col(f"`{f}`").isNull(), F.col(f"`{f}`"))]
+    return [F.xxhash64(F.lit(seed), *whole).alias(f"_row{seed}") for seed in (1, 2)]
+
+
 def atom_counts(atoms: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row for each row of atoms, exact repeats once: atom_id with the times it was there, n_tokens and its labels."""
+    """One row for each row of atoms, exact repeats once: atom_id with the times it was there, n_tokens and its labels.
+
+    Repeats are told by hashes of all columns of atoms, so rows that differ in any of them stay apart.
+    """
     rows = atoms.select(
         F.col("body").alias("_text"),
         document_path(F.get("sources", F.lit(0))).alias("source"),
@@ -98,8 +131,9 @@ def atom_counts(atoms: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         "atom_id",
         "ingested_at",
         "removed_at",
+        *row_key(atoms),
     )
-    return with_token_counts(rows, F.col("_text"), tokenizer).distinct()
+    return with_token_counts(rows, F.col("_text"), tokenizer).dropDuplicates(["_row1", "_row2"]).drop("_row1", "_row2")
 
 
 def token_counts(docs: DataFrame, atoms: DataFrame, codes: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

@@ -145,3 +145,29 @@ def test_mixture_of_nothing(spark):
 def test_tokenizers_are_not_in_the_repository():
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not [f for _, _, fs in os.walk(os.path.join(here, "corvane")) for f in fs if f.endswith((".tiktoken", ".model", ".json"))]
+
+
+def test_rows_that_differ_anywhere_stay_apart(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    row = lambda title, build, body="two words": ("a", "doc", title, "docs", ["s.md"], body, build, t, None, "x")
+    rows = [row("t", 1), row("t", 1), row("u", 1), row("t", 2), row(None, 1), row("t", None), row("t", 1, "two wards"), row("t", 1, None)]
+    atoms = spark.createDataFrame(rows, "atom_id string, atom_type string, title string, x_domain string, sources array<string>, body string, build_id long, ingested_at timestamp, removed_at timestamp, source string")
+    assert tokens.atom_counts(atoms).count() == 7
+
+
+def test_the_tokenizer_goes_to_the_workers(spark):
+    from pyspark import SparkFiles
+
+    tokens.ship(spark, tokens.TOKENIZER)
+    assert os.path.exists(SparkFiles.get(os.path.basename(tokens.TOKENIZER))) and tokens._local("/nowhere/else.tiktoken") == "/nowhere/else.tiktoken"
+
+
+def test_a_repeated_text_counts_once_for_its_cap(spark):
+    rows = [(i, "a", "the same text stands here") for i in range(50)] + [(100 + i, "a", f"text number {i}") for i in range(50)] + [(200 + i, "b", f"other text {i}") for i in range(500)] + [(900, "a", None), (901, "a", None)]
+    sized = mixing.sized_documents(spark.createDataFrame(rows, "doc_id long, source string, text string"), tokens.TOKENIZER)
+    assert sized.where("source = 'a'").count() == 53 and sized.where("doc_id < 50").first().doc_id == 0
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    mixture = mixing.mix(sized, mixing.source_rates(sized, targets), "doc_id")
+    assert mixture.where("doc_id < 50").count() <= 3
