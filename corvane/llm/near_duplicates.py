@@ -28,8 +28,12 @@ BAND_ROWS = 4
 BUDGET = 38
 #: Rows of one band bucket that one task joins; a larger bucket is cut into blocks, which are joined pair by pair.
 BLOCK = 4_000
-#: Node pairs that are held in memory at once while two tries are traversed.
+#: Node pairs of one level that are held in memory at once while two tries are traversed.
 FRONTIER = 400_000
+#: A band key is looked at as a hot one before the shuffle if it comes so often among LOCAL_KEYS keys of a task.
+LOCAL_LEAST, LOCAL_KEYS = 16, 4_000_000
+#: Records of one class, or links of one class, that one task expands into pairs.
+PAIR_BLOCK = 2_000
 
 WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -141,9 +145,6 @@ def signatures(records: DataFrame, id_col: str, text_col: str, words: int) -> Da
     )
 
 
-_POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
-
-
 def _runs(*cols: np.ndarray) -> np.ndarray:
     """Where a new run of equal values begins in sorted columns."""
     new = np.zeros(len(cols[0]), bool)
@@ -158,62 +159,67 @@ def trie_join(key: np.ndarray, bits: np.ndarray, budget: int, side: np.ndarray |
     """Row pairs (i, j) with the same key whose fingerprints differ in at most budget bits.
 
     key: one trie a key. bits: n x 8 words of 16 bits, one word a stride of 16 trie levels. Node pairs of all tries go
-    down one stride at a time; a node pair's children pairs inherit its error and are dropped beyond the budget. With
-    side (0 or 1), only pairs of rows of different sides are returned.
+    down one stride at a time; a node pair's children pairs inherit its error and are dropped beyond the budget. Two nodes of one row each
+    are paths: what is left of their error is added up at once. The traversal goes depth first in slices of FRONTIER node pairs, of which
+    a level holds one. With side (0 or 1), only pairs of rows of different sides are returned.
     """
-    n = len(key)
-    order = np.lexsort([*(bits[:, k] for k in range(bits.shape[1] - 1, -1, -1)), key])
-    key, bits = key[order], bits[order]
+    n, strides = len(key), bits.shape[1]
+    order = np.lexsort([*(bits[:, k] for k in range(strides - 1, -1, -1)), key])
+    key, bits = key[order], np.ascontiguousarray(bits[order])
+    paths = bits.view(np.uint64)
     edges = [_runs(key)]
-    for depth in range(1, bits.shape[1] + 1):
+    for depth in range(1, strides + 1):
         edges.append(_runs(key, *(bits[:, k] for k in range(depth))))
+    ends = [np.append(e[1:], n) for e in edges]
     out_a, out_b = [], []
-    roots = np.arange(len(edges[0]))
-    sizes = np.diff(np.append(edges[0], n))
-    stack = [(0, roots[sizes > 1], roots[sizes > 1], np.zeros(int((sizes > 1).sum()), np.int16))]
-    while stack:
-        depth, a, b, err = stack.pop()
-        if len(a) == 0:
-            continue
-        if depth == bits.shape[1]:  # leaves: nodes of equal fingerprints
-            ends = np.append(edges[depth][1:], n)
-            for x, y in ((a, b),):
-                ca, cb = ends[x] - edges[depth][x], ends[y] - edges[depth][y]
-                i, j = _cross(edges[depth][x], ca, edges[depth][y], cb)
-                keep = i < j if side is None else (i < j) & (side[order[i]] != side[order[j]])
-                out_a.append(order[i[keep]]), out_b.append(order[j[keep]])
-            continue
+
+    def found(i: np.ndarray, j: np.ndarray) -> None:
+        keep = i < j if side is None else (i < j) & (side[order[i]] != side[order[j]])
+        out_a.append(order[i[keep]]), out_b.append(order[j[keep]])
+
+    def descend(depth: int, a: np.ndarray, b: np.ndarray, err: np.ndarray) -> None:
+        start, size = edges[depth], ends[depth] - edges[depth]
+        path = (size[a] == 1) & (size[b] == 1)
+        i, j = start[a[path]], start[b[path]]
+        near = np.bitwise_count(paths[i] ^ paths[j]).sum(1) <= budget
+        found(i[near], j[near])
+        a, b, err = a[~path], b[~path], err[~path]
+        if depth == strides:  # leaves: nodes of equal fingerprints
+            for _, i, j in _cross_slices(start[a], size[a], start[b], size[b]):
+                found(i, j)
+            return
         child = edges[depth + 1]
-        first = np.searchsorted(child, edges[depth], "left")
-        last = np.append(first[1:], len(child))
-        ca, cb = last[a] - first[a], last[b] - first[b]
-        work = np.cumsum(ca * cb)
-        cuts = np.searchsorted(work, np.arange(FRONTIER, work[-1] + FRONTIER, FRONTIER), "left") + 1
-        begin = 0
-        for stop in np.unique(np.minimum(cuts, len(a))):
-            s = slice(begin, stop)
-            begin = stop
-            i, j = _cross(first[a[s]], ca[s], first[b[s]], cb[s])
-            e = np.repeat(err[s], ca[s] * cb[s])
-            keep = i <= j
-            i, j, e = i[keep], j[keep], e[keep]
-            e = e + _POP[bits[child[i], depth] ^ bits[child[j], depth]]
-            keep = e <= budget
-            if depth + 1 <= bits.shape[1]:
-                single = (i == j) & (np.append(child[1:], n)[i] - child[i] == 1)
-                keep &= ~single
-            stack.append((depth + 1, i[keep], j[keep], e[keep].astype(np.int16)))
+        first = np.searchsorted(child, start, "left")
+        many = np.append(first[1:], len(child)) - first
+        word = bits[child, depth]
+        for of, i, j in _cross_slices(first[a], many[a], first[b], many[b]):
+            e = err[of] + np.bitwise_count(word[i] ^ word[j])
+            keep = (i <= j) & (e <= budget)
+            if keep.any():
+                descend(depth + 1, i[keep], j[keep], e[keep])
+
+    roots = np.flatnonzero(ends[0] - edges[0] > 1)
+    descend(0, roots, roots, np.zeros(len(roots), np.int16))
     if not out_a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _cross(start_a: np.ndarray, n_a: np.ndarray, start_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each k the pairs of start_a[k] .. + n_a[k] with start_b[k] .. + n_b[k]."""
-    total = n_a * n_b
-    at = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-    nb = np.repeat(n_b, total)
-    return np.repeat(start_a, total) + at // nb, np.repeat(start_b, total) + at % nb
+def _cross_slices(start_a: np.ndarray, n_a: np.ndarray, start_b: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(k, i, j) of all pairs of start_a[k] .. + n_a[k] with start_b[k] .. + n_b[k], about FRONTIER pairs at a time; one k may take many slices."""
+    rows = np.maximum(1, FRONTIER // np.maximum(n_b, 1))
+    times = -(-n_a // rows)
+    of = np.repeat(np.arange(len(n_a)), times)
+    skip = (np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)) * rows[of]
+    sa, na, sb, nb = start_a[of] + skip, np.minimum(rows[of], n_a[of] - skip), start_b[of], n_b[of]
+    work, begin = np.cumsum(na * nb), 0
+    while begin < len(of):
+        done = work[begin - 1] if begin else 0
+        s = slice(begin, max(begin + 1, int(np.searchsorted(work, done + FRONTIER, "right"))))
+        total = na[s] * nb[s]
+        at, width = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total), np.repeat(nb[s], total)
+        yield np.repeat(of[s], total), np.repeat(sa[s], total) + at // width, np.repeat(sb[s], total) + at % width
+        begin = s.stop
 
 
 _JOINED = "key_a long, key_b long, grp long, set_key long, bits binary"
@@ -296,32 +302,61 @@ def _join_partition(budget: int, block: int | None):
     return run
 
 
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, n) of the band keys that come LOCAL_LEAST times or more among every LOCAL_KEYS keys of the task."""
+    held: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys[n >= LOCAL_LEAST]), pa.array(n[n >= LOCAL_LEAST].astype(np.int64))], ["grp", "n"])
+
+    for batch in batches:
+        held.append(batch.column(0).flatten().to_numpy())
+        if sum(map(len, held)) >= LOCAL_KEYS:
+            yield flush()
+    yield flush()
+
+
+def _in_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """The rows of hot keys, each once for every pair of blocks of its key that its own block belongs to. sizes: (grp, count)."""
+    return (
+        salted_join(rows, sizes.select("grp", F.ceil(F.col("count") / block).cast("int").alias("n")), "grp", "inner")
+        .withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("n")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        .select(
+            F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"),
+            "set_key",
+            "bits",
+            F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+        )
+    )
+
+
 def candidate_pairs(sketches: DataFrame, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
     """Distinct (key_a, key_b), key_a < key_b, of the sketches whose tries meet within the error budget.
 
-    sketches: one row a set_key with band_keys and bits. A bucket of more than `block` rows passes its task unjoined; it is cut into
-    blocks, each row goes to each of the block pairs it belongs to, and no task gets more than two blocks of it. Nothing
-    is capped: each pair of blocks is joined.
+    sketches: one row a set_key with band_keys and bits, checkpointed. Hot band keys are found by counts inside the tasks, counted exactly
+    and split into blocks before anything is shuffled by band: each row goes to each of the block pairs it belongs to, and no task
+    gets more than two blocks. A key that is spread so thin over the tasks that none of them notices passes its task unjoined and is split then.
+    Nothing is capped: each pair of blocks is joined.
     """
-    rows = sketches.select(F.explode("band_keys").alias("grp"), "set_key", "bits", F.lit(-1).alias("side"))
-    joined = cut(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_join_partition(budget, block), _JOINED))
+    rows = sketches.select(F.explode("band_keys").alias("grp"), "set_key", "bits")
+    join = lambda df, limit: df.repartition("grp").sortWithinPartitions("grp").mapInArrow(_join_partition(budget, limit), _JOINED)
+    noticed = cut(sketches.select("band_keys").mapInArrow(_frequent, "grp long, n long").groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") > block).select("grp"))
+    cold, split = rows, []
+    if noticed.limit(1).count():
+        sizes = cut(rows.select("grp").join(small(noticed), "grp", "left_semi").groupBy("grp").count())
+        cold = rows.join(small(noticed), "grp", "left_anti")
+        split.append(_in_blocks(rows.join(small(noticed), "grp", "left_semi"), sizes, block))
+    joined = cut(join(cold.withColumn("side", F.lit(-1)), block))
     pairs = joined.where("key_a is not null").select("key_a", "key_b")
-    hot = joined.where("grp is not null").select("grp", "set_key", "bits")
-    sizes = cut(hot.groupBy("grp").count())
+    late = joined.where("grp is not null").select("grp", "set_key", "bits")
+    sizes = cut(late.groupBy("grp").count())
     if sizes.limit(1).count():
-        split = (
-            salted_join(hot, sizes.select("grp", F.ceil(F.col("count") / block).cast("int").alias("n")), "grp", "inner")
-            .withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("n")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-            .select(
-                F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("grp"),
-                "set_key",
-                "bits",
-                F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-            )
-        )
-        more = split.repartition("grp").sortWithinPartitions("grp").mapInArrow(_join_partition(budget, None), _JOINED)
-        pairs = pairs.unionByName(more.select("key_a", "key_b"))
+        split.append(_in_blocks(late, sizes, block))
+    for part in split:
+        pairs = pairs.unionByName(join(part, None).select("key_a", "key_b"))
     return pairs.distinct()
 
 
@@ -391,43 +426,51 @@ def _own_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+def record_pairs(members: DataFrame, links: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     """Every pair of different record ids that the classes and links stand for, the smaller id first.
 
-    This lists what the caller asks for pair by pair; near_duplicate_groups() is the form that stays linear.
+    This lists what the caller asks for pair by pair; near_duplicate_groups() is the form that stays linear. The records of a
+    class stand in blocks of about `block`; a link meets each pair of blocks of its two classes, and a class meets itself block by block.
     """
-    a, b = members.toDF("id_a", "key_a"), members.toDF("id_b", "key_b")
-    across = links.join(a, "key_a").join(b, "key_b").select("id_a", "id_b", "likeness")
-    twins = members.groupBy("set_key").count().where("count > 1").select("set_key")
-    m = members.join(twins, "set_key")
-    inside = m.toDF("set_key", "id_a").join(m.toDF("set_key", "id_b"), "set_key").where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("likeness"))
+    n_blocks = cut(members.groupBy("set_key").agg(F.count("*").alias("n")).where("n > 1").select("set_key", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    large = n_blocks.where("blocks > 1").select("set_key", "blocks")
+    blocked = salted_join(members, large, "set_key").withColumn("part", F.pmod(F.xxhash64("rec_id"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    a, b = blocked.toDF("key_a", "id_a", "part_a"), blocked.toDF("key_b", "id_b", "part_b")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.coalesce(name, F.lit(1)) - 1))
+    met = salted_join(salted_join(links, large.toDF("key_a", "n_a"), "key_a"), large.toDF("key_b", "n_b"), "key_b")
+    met = met.withColumn("part_a", every("n_a")).withColumn("part_b", every("n_b")).drop("n_a", "n_b")
+    across = met.join(a, ["key_a", "part_a"]).join(b, ["key_b", "part_b"]).select("id_a", "id_b", "likeness")
+    mine = salted_join(blocked, n_blocks.select("set_key", "blocks"), "set_key", "inner")
+    inside = (
+        mine.withColumn("other", every("blocks")).select("set_key", F.col("part").alias("p"), F.col("other").alias("q"), F.col("rec_id").alias("id_a"))
+        .join(mine.withColumn("other", every("blocks")).select("set_key", F.col("other").alias("p"), F.col("part").alias("q"), F.col("rec_id").alias("id_b")), ["set_key", "p", "q"])
+        .where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("likeness"))
+    )
     both = across.unionByName(inside).where("id_a <> id_b")
     return both.groupBy(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).agg(F.max("likeness").alias("likeness"))
 
 
-def connected(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of each node of an undirected graph of (a, b) keys, root the smallest node of its component.
 
-    Alternates large-star and small-star rounds, each one grouping step, until nothing changes; a hub's neighbours are
-    only aggregated, never collected. Each round is checkpointed.
+    Alternates large-star and small-star rounds, each one grouping step, until nothing changes, which takes about the logarithm of the
+    longest path; a hub's neighbours are only aggregated, never collected, and its rows are salted. Each round is checkpointed.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = cut(salted_join(both, least, "a", "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        linked = down.join(low, "a")
+        linked = salted_join(down, low, "a", "inner")
         nxt = cut(
             linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(linked.select("a", F.col("m").alias("b"))).where("a <> b")
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         )
-        same = now.count() == nxt.count() and nxt.exceptAll(now).limit(1).count() == 0
+        if now.count() == nxt.count() and nxt.exceptAll(now).limit(1).count() == 0:
+            return nxt.select(F.col("a").alias("node"), F.col("b").alias("root"))
         now = nxt
-        if same:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:

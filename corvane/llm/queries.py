@@ -110,6 +110,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        # Exact likeness of all pairs that share a run of three words.
+        "p1_found": """WITH b AS (SELECT DISTINCT atom_id, body FROM atoms WHERE atom_id IS NOT NULL AND length(body) >= 200),
+            w AS (SELECT atom_id, row_number() OVER (ORDER BY atom_id, body) AS r, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') AS ws FROM b),
+            s AS (SELECT DISTINCT r, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+            n AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+            c AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.r < y.r GROUP BY 1, 2)
+            SELECT DISTINCT least(x.atom_id, y.atom_id) AS atom_id_a, greatest(x.atom_id, y.atom_id) AS atom_id_b
+            FROM c JOIN n na ON na.r = a JOIN n nb ON nb.r = b JOIN w x ON x.r = a JOIN w y ON y.r = b
+            WHERE x.atom_id <> y.atom_id AND c >= 0.7 * (na.n + nb.n - c)""",
         "p5_rebuilt": "SELECT DISTINCT atom_id, md5(body) AS source_md5, md5(body) AS body_md5, true AS within_limit, true AS overlaps_hold, true AS all_there FROM atoms WHERE length(body) + length(regexp_replace(body, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 4000",
         "p5_found": "SELECT DISTINCT atom_id FROM atoms WHERE length(body) + length(regexp_replace(body, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) > 4000",
     }

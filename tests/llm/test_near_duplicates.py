@@ -69,12 +69,32 @@ def test_hot_buckets_are_split_without_loss(spark):
     found, _, _ = pairs(spark, rows)
     df = spark.createDataFrame(rows, "atom_id string, body string")
     signed = nd.signatures(df, "atom_id", "body", 3)
-    sketches = signed.groupBy("set_key").agg({"band_keys": "first", "bits": "first"}).toDF("set_key", "bits", "band_keys") if False else signed.selectExpr("set_key", "band_keys", "bits").dropDuplicates(["set_key"])
+    sketches = signed.selectExpr("set_key", "band_keys", "bits").dropDuplicates(["set_key"])
     whole = {tuple(r) for r in nd.candidate_pairs(sketches).collect()}
     split = {tuple(r) for r in nd.candidate_pairs(sketches, block=5).collect()}
     assert whole == split and found == brute(rows, 3, 0.7)
 
 
+def test_hot_keys_are_split_before_the_shuffle(spark, monkeypatch):
+    """The same pairs whether the tasks notice the hot keys or not."""
+    base = " ".join(f"w{i * 7 % 101}" for i in range(100))
+    df = spark.createDataFrame([(f"a{i}", f"{base} tail{i} end{i % 7}") for i in range(150)], "atom_id string, body string")
+    sketches = nd.signatures(df, "atom_id", "body", 3).selectExpr("set_key", "band_keys", "bits").dropDuplicates(["set_key"]).repartition(2).checkpoint()
+    whole = {tuple(r) for r in nd.candidate_pairs(sketches).collect()}
+    assert sketches.select("band_keys").mapInArrow(nd._frequent, "grp long, n long").where("n > 20").count() > 0
+    assert {tuple(r) for r in nd.candidate_pairs(sketches, block=20).collect()} == whole
+
+
+def test_large_classes_are_paired_in_blocks(spark):
+    members = spark.createDataFrame([(f"a{i}", 1) for i in range(40)] + [(f"b{i}", 2) for i in range(30)] + [("c", 3), ("d", 4), ("a1", 2)], "rec_id string, set_key long")
+    links = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8)], "key_a long, key_b long, likeness double")
+    want = {tuple(r) for r in nd.record_pairs(members.select("rec_id", "set_key"), links).collect()}
+    got = {tuple(r) for r in nd.record_pairs(members, links, block=7).collect()}
+    ids = {1: {f"a{i}" for i in range(40)}, 2: {f"b{i}" for i in range(30)} | {"a1"}, 3: {"c"}}
+    pairs_ = {(min(x, y), max(x, y)) for p, q in ((1, 1), (2, 2), (1, 2), (2, 3)) for x in ids[p] for y in ids[q] if x != y}
+    assert got == want and {(a, b) for a, b, _ in got} == pairs_
+
+
 def test_nulls_empty_repeated_and_long_texts(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
     rows = [("a", None), (None, "one two three four"), ("b", ""), ("c", "x" * 500_000), ("d", "one two"), ("e", "one two three four"), ("e", "one two three four"), ("f", "One, two; THREE four"), ("g", long), ("h", long + " end")]
@@ -93,6 +113,8 @@ def test_empty_table(spark):
 def test_components_of_paths_stars_and_pairs(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, 100 + i) for i in range(1, 50)] + [(500, 400), (400, 450)]
     roots = {r.node: r.root for r in nd.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    path = {r.node: r.root for r in nd.connected(spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")).collect()}
+    assert all(path[i] == 0 for i in range(1, 301))
     assert all(roots[i] == 1 for i in range(2, 31)) and all(roots[100 + i] == 100 for i in range(1, 50)) and roots[500] == roots[450] == 400
 
 
@@ -112,6 +134,17 @@ def test_trie_join_equals_all_pairs(seed, n, budget):
     assert got == want and len(got) == len(i)
 
 
+def test_trie_join_of_a_large_block_in_small_slices(monkeypatch):
+    monkeypatch.setattr(nd, "FRONTIER", 1_000)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 16, (300, 8)).astype(np.uint16)
+    bits = np.concatenate([base, base, base ^ np.uint16(3)])
+    i, j = nd.trie_join(np.zeros(len(bits), np.int64), bits, 16)
+    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+    dist = np.bitwise_count(bits[:, None, :] ^ bits[None, :, :]).sum(2)
+    assert got == {(a, b) for a in range(900) for b in range(a + 1, 900) if dist[a, b] <= 16} and len(got) == len(i)
+
+
 def test_recall_over_likeness(spark):
     """All pairs from 0.7 on, over many families: the bands miss at most a few in a thousand of those just above it."""
     rows = corpus(7, families=60, copies=5)
