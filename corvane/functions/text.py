@@ -161,14 +161,23 @@ def _any_shape(token: Column, shapes: tuple[str, ...]) -> Column:
     return found & (F.length(token) > 1)
 
 
+# Marks that are trimmed off a token before its shape is looked at.
+ENTITY_TRIM = (r"^[(\"'`\[\]{*_<]+", r"[?!.,;:)\"'`\[\]{}*_>]+$")
+RARE_TRIM = ("^[(\"'`]+", "[?!.,;)\"'`]+$")
+
+
+def _trimmed(tokens: Column, marks: tuple[str, str]) -> Column:
+    return F.transform(tokens, lambda t: F.regexp_replace(F.regexp_replace(t, marks[0], ""), marks[1], ""))
+
+
 def extract_entities(body: Column) -> Column:
     """Distinct entity-shaped tokens in order, without the marks around them."""
-    bare = F.transform(F.split(body, r"\s+"), lambda t: F.regexp_replace(F.regexp_replace(t, r"^[(\"'`\[\]{*_<]+", ""), r"[?!.,;:)\"'`\[\]{}*_>]+$", ""))
+    bare = _trimmed(F.split(body, r"\s+"), ENTITY_TRIM)
     return F.array_distinct(F.filter(bare, lambda t: _any_shape(t, ENTITY_SHAPES)))
 
 
 def carries_rare_term(query: Column) -> Column:
-    bare = F.transform(F.split(query, r"\s+"), lambda t: F.regexp_replace(F.regexp_replace(t, "^[(\"'`]+", ""), "[?!.,;)\"'`]+$", ""))
+    bare = _trimmed(F.split(query, r"\s+"), RARE_TRIM)
     return F.exists(bare, lambda t: _any_shape(t, RARE_SHAPES))
 
 
@@ -186,8 +195,7 @@ LINE_MARKERS = ("System:", "Assistant:", "User:", "Human:")
 def _marker_patterns(extra: tuple[str, ...]) -> tuple[str, str]:
     import re
 
-    inline = "|".join(re.escape(m).replace("<", "<").replace("/", "/") for m in (*TEMPLATE_MARKERS, *extra))
-    return inline, "|".join(m for m in LINE_MARKERS)
+    return "|".join(map(re.escape, (*TEMPLATE_MARKERS, *extra))), "|".join(LINE_MARKERS)
 
 
 def neutralise(text: Column, extra: tuple[str, ...] = ()) -> Column:
@@ -201,6 +209,13 @@ def marker_count(text: Column, extra: tuple[str, ...] = ()) -> Column:
     return F.regexp_count(text, F.lit(inline)) + F.regexp_count(text, F.lit(rf"(?im)^[ \t]*(?:{line})"))
 
 
+def escape_xml(text: Column) -> Column:
+    """The five characters of markup as entities: safe as text and in an attribute."""
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
 def matched_terms(query_terms: Column, body_terms: Column) -> Column:
     return F.array_intersect(query_terms, body_terms)
 

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.functions import text as tx
+
 #: Atoms of one document, pool floor, and the least calibrated relevance of a confident answer.
 MAX_PER_DOC = 2
 POOL_FLOOR = 100
 CONFIDENCE_FLOOR = 0.4
+#: The lines a pack opens and closes with.
+PACK_OPEN, PACK_CLOSE = "<<<KNOWLEDGE-PACK>>>", "<<<END-KNOWLEDGE-PACK>>>"
 
 
 def member_of(column: str, allowed: list[str] | None) -> Column:
@@ -65,14 +69,14 @@ def relevance_floor(ranked: DataFrame, floor: float) -> DataFrame:
     return counted.where(F.col("relevance") >= floor)
 
 
-def fit_budget(ranked: DataFrame, cost: Column, limit: int) -> DataFrame:
+def fit_budget(ranked: DataFrame, cost: Column, limit: int, overhead: int = 0) -> DataFrame:
     """(query_id, atom_id, cost, used) admitted in rank order: an atom that does not fit is skipped, later ones may still fit.
 
-    ranked holds a bounded number of atoms a query (a served slice), so the fold over one query's array is small.
+    overhead is reserved for what the rendering puts around the atoms; used counts it. ranked holds a bounded number of atoms a query (a served slice), so the fold over one query's array is small.
     """
     rows = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "atom_id", cost.cast("long").alias("cost")))).alias("xs"))
     kept_type = "array<struct<rank:int,atom_id:string,cost:bigint,used:bigint>>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kept_type).alias("kept"))
+    start = F.struct(F.lit(overhead).cast("long").alias("used"), F.array().cast(kept_type).alias("kept"))
 
     def admit(acc: Column, x: Column) -> Column:
         used = acc["used"] + x["cost"]
@@ -91,21 +95,21 @@ def confidence(delivered: DataFrame, queries: DataFrame, floor: float = CONFIDEN
     )
 
 
-def normalise_scores(ranked: DataFrame) -> DataFrame:
-    """Adds score_normalised: min-max over a query; null for one atom or equal scores."""
-    w = Window.partitionBy("query_id")
+def normalise_scores(ranked: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Adds score_normalised: min-max over what one query of one run returned; null for one atom or equal scores. keys name the run too where there are several."""
+    w = Window.partitionBy(*keys)
     low, high = F.min("score").over(w), F.max("score").over(w)
     return ranked.withColumn("score_normalised", F.when((F.count("*").over(w) >= 2) & (high > low), (F.col("score") - low) / (high - low)))
 
 
 def render_pack(delivered: DataFrame) -> DataFrame:
-    """(query_id, pack, citations, markers): delivered atoms as citable text, template markers made harmless.
+    """(query_id, pack, citations, markers): delivered atoms as citable text between PACK_OPEN and PACK_CLOSE, markers of templates and of the pack made harmless.
 
     delivered: query_id, place, document, atom_id, title, heading_chain, body, origin_index, origin_count. The first atom of a
     document gets its header; citations are listed in delivered order. A query's delivered slice is bounded by its budget.
     """
-    from corvane.functions.text import marker_count, neutralise
-
+    own = (PACK_OPEN, PACK_CLOSE)
+    neutralise, marker_count = (lambda c: tx.neutralise(c, own)), (lambda c: tx.marker_count(c, own))
     first = F.row_number().over(Window.partitionBy("query_id", "document").orderBy("place")) == 1
     head = F.coalesce(F.nullif(F.substring_index("heading_chain", " > ", 1), F.lit("")), F.nullif(F.col("title"), F.lit("")), F.regexp_extract("document", r"([^/]+?)(?:\.[^.]*)?$", 1))
     marker = F.when(F.col("origin_index").isNotNull() & F.col("origin_count").isNotNull(), F.concat(F.lit(" ("), F.col("origin_index") + 1, F.lit("/"), F.col("origin_count"), F.lit(")"))).otherwise("")
@@ -115,10 +119,34 @@ def render_pack(delivered: DataFrame) -> DataFrame:
     lines = delivered.select("query_id", "place", "atom_id", block.alias("block"), marker_count(body).alias("n"))
     xs = F.sort_array(F.collect_list(F.struct("place", "atom_id", "block")))
     return lines.groupBy("query_id").agg(xs.alias("xs"), F.sum("n").alias("markers")).select(
-        "query_id", F.array_join(F.transform("xs", lambda x: x["block"]), "\n\n").alias("pack"), F.array_join(F.transform("xs", lambda x: x["atom_id"]), " ").alias("citations"), "markers",
+        "query_id", F.concat_ws("\n", F.lit(PACK_OPEN), F.array_join(F.transform("xs", lambda x: x["block"]), "\n\n"), F.lit(PACK_CLOSE)).alias("pack"), F.array_join(F.transform("xs", lambda x: x["atom_id"]), " ").alias("citations"), "markers",
     )
 
 
 def fabricated(cited: Column, delivered: Column) -> Column:
     """Citations of what was never delivered."""
     return F.array_except(cited, delivered)
+
+
+def render_text(delivered: DataFrame) -> DataFrame:
+    """(query_id, rendered): a numbered list, a line with rank, title, id and document and the body below it. delivered: query_id, place, atom_id, document, title, score, body."""
+    head = F.concat(F.col("place"), F.lit(". "), F.coalesce("title", "atom_id"), F.lit(" ["), F.col("atom_id"), F.lit("] "), F.coalesce("document", F.lit("")))
+    return _joined(delivered, F.concat_ws("\n", head, F.coalesce("body", F.lit(""))), "\n\n", "", "")
+
+
+def render_json(delivered: DataFrame) -> DataFrame:
+    """(query_id, rendered): a JSON array of the delivered atoms in order; null fields are left out."""
+    return _joined(delivered, F.to_json(F.struct("place", "atom_id", "document", "title", "score", "body")), ",", "[", "]")
+
+
+def render_xml(delivered: DataFrame) -> DataFrame:
+    """(query_id, rendered): <atoms> with an <atom> each, its facts as attributes and its body as text; everything is escaped."""
+    attribute = lambda name, c: F.concat(F.lit(f' {name}="'), tx.escape_xml(F.coalesce(c.cast("string"), F.lit(""))), F.lit('"'))
+    one = F.concat(F.lit("<atom"), attribute("place", F.col("place")), *(attribute(n, F.col(c)) for n, c in (("id", "atom_id"), ("document", "document"), ("title", "title"))), F.lit(">"), tx.escape_xml(F.coalesce("body", F.lit(""))), F.lit("</atom>"))
+    return _joined(delivered, one, "", "<atoms>", "</atoms>")
+
+
+def _joined(delivered: DataFrame, one: Column, between: str, before: str, after: str) -> DataFrame:
+    """A query's delivered slice is bounded by its budget."""
+    xs = F.sort_array(F.collect_list(F.struct("place", one.alias("t"))))
+    return delivered.groupBy("query_id").agg(F.concat(F.lit(before), F.array_join(F.transform(xs, lambda x: x["t"]), between), F.lit(after)).alias("rendered"))

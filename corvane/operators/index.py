@@ -61,6 +61,10 @@ def indexed_fields(atoms: DataFrame, enrichment: DataFrame | None = None, body_s
     raise ValueError(f"unknown body_source {body_source!r}")
 
 
+#: The postings of one document in one row.
+FORWARD = "atom_id, doc_len, terms array<struct<term, tf>>"
+
+
 @dataclass
 class Index:
     """postings: (atom_id, doc_len, term, tf); its statistics cover every document, whatever is filtered later."""
@@ -68,11 +72,18 @@ class Index:
     postings: DataFrame
     docs: DataFrame  # (atom_id, doc_len)
     analyzer: str
-    kept: bool = False  # read from storage, which does not keep the partitioning by document
+    rows: DataFrame | None = None  # FORWARD, written to the checkpoint folder
 
     def by_document(self) -> DataFrame:
         """The postings partitioned by document, so that sums over a document's terms stay in its task."""
-        return self.postings.repartition("atom_id") if self.kept else self.postings
+        return self.postings if self.rows is None else self.postings.repartition("atom_id")
+
+    def forward(self) -> DataFrame:
+        """FORWARD: a row a document, so that a task that scores it needs nothing else."""
+        if self.rows is not None:
+            return self.rows
+        listed = self.postings.groupBy("atom_id", "doc_len").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+        return listed.unionByName(self.docs.where("doc_len = 0").withColumn("terms", F.array().cast("array<struct<term:string,tf:bigint>>")))
 
     @staticmethod
     def build(corpus: DataFrame, analyzer: str, text: Column | None = None) -> Index:
@@ -81,6 +92,8 @@ class Index:
         idents = tx.ANALYZERS[analyzer][2]
         terms = (tx.unstemmed_terms if idents else tx.plain_terms)(F.coalesce(text, F.lit("")), analyzer)
         placed = corpus.select("atom_id", terms.alias("terms")).repartition("atom_id").withColumn("doc_len", F.size("terms"))
+        if tx.ANALYZERS[analyzer][1] is not None:
+            placed = cut(placed)  # the stemmer's vocabulary and the postings both come from the tokens
         tokens = placed.select("atom_id", "doc_len", F.explode("terms").alias("t"))
         tokens = tokens.select("atom_id", "doc_len", "t.term", "t.whole") if idents else tokens.withColumnRenamed("t", "term")
         tokens = tx.stem_terms(tokens, analyzer, whole="whole" if idents else None)
@@ -97,13 +110,12 @@ class Index:
         return rows.groupBy("term").agg(F.count("*").alias("df"))
 
     def stored(self) -> Index:
-        """The same index, made once: its postings are written to the checkpoint folder."""
-        return Index(cut(self.postings), cut(self.docs), self.analyzer, True)
+        """The same index, made once: a row a document is written to the checkpoint folder, and all the rest is read from it."""
+        return self if self.rows is not None else _of_rows(cut(self.forward()), self.analyzer)
 
     def write(self, path: str) -> None:
-        """Postings sorted by term inside each file, so that a query's terms prune row groups."""
-        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        """A row a document; the stamp comes last, so an index that was not finished is not read."""
+        self.forward().write.mode("overwrite").parquet(f"{path}/rows")
         self.stats().withColumn("analyzer", F.lit(self.analyzer)).write.mode("overwrite").parquet(f"{path}/stamp")
 
     @staticmethod
@@ -112,22 +124,34 @@ class Index:
         stamp = spark.read.parquet(f"{path}/stamp").first()
         if stamp is None or stamp.analyzer != analyzer:
             raise ValueError(f"the index was built with analyzer {stamp and stamp.analyzer!r}, not {analyzer!r}")
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), analyzer, True)
+        return _of_rows(spark.read.parquet(f"{path}/rows"), analyzer)
 
 
-def positions(fields: DataFrame, analyzer: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """(atom_id, col, pos, term, doc_len) of every token of every column; doc_len counts all columns."""
-    idents = tx.ANALYZERS[analyzer][2]
-    split = tx.unstemmed_terms if idents else tx.plain_terms
+def _of_rows(rows: DataFrame, analyzer: str) -> Index:
+    return Index(rows.select("atom_id", "doc_len", F.inline("terms")), rows.select("atom_id", "doc_len"), analyzer, rows)
+
+
+def placed_fields(fields: DataFrame, analyzer: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """(atom_id, doc_len, fields) with the unstemmed terms of every column in their order; doc_len counts all columns."""
+    split = tx.unstemmed_terms if tx.ANALYZERS[analyzer][2] else tx.plain_terms
     term_lists = [F.struct(F.lit(c).alias("col"), split(F.col(c), analyzer).alias("terms")) for c in columns]
     placed = fields.repartition("atom_id").select("atom_id", F.array(*term_lists).alias("fields"))
-    placed = placed.withColumn("doc_len", F.aggregate("fields", F.lit(0), lambda s, x: s + F.size(x["terms"])))
+    return placed.withColumn("doc_len", F.aggregate("fields", F.lit(0), lambda s, x: s + F.size(x["terms"])))
+
+
+def positions_of(placed: DataFrame, analyzer: str) -> DataFrame:
+    """(atom_id, col, pos, term, doc_len) of every token of placed_fields()."""
     by_col = placed.select("atom_id", "doc_len", F.explode("fields").alias("f")).select("atom_id", "doc_len", "f.col", F.posexplode("f.terms").alias("pos", "t"))
-    if not idents:
+    if not tx.ANALYZERS[analyzer][2]:
         return tx.stem_terms(by_col.withColumnRenamed("t", "term"), analyzer, whole=None)
     return tx.stem_terms(by_col.select("atom_id", "doc_len", "col", "pos", "t.term", "t.whole"), analyzer).drop("whole")
 
 
+def positions(fields: DataFrame, analyzer: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """(atom_id, col, pos, term, doc_len) of every token of every column; doc_len counts all columns."""
+    return positions_of(placed_fields(fields, analyzer, columns), analyzer)
+
+
 def novel_keywords(records: DataFrame, analyzer: str = "nostem-fold") -> DataFrame:
     """(atom_id, kept, dropped): a keyword is kept unless each of its terms occurs in the body; one without terms is dropped.
 

@@ -52,7 +52,7 @@ class _Legs(dict):
 
     def __missing__(self, name: str) -> DataFrame:
         text = {"linear": text_of(), "body": F.col("body"), "title": F.col("title")}[name]
-        self[name] = cut(rk.top_k(rk.bm25(ix.Index.build(self.corpus, ANALYZER, text).stored(), self.terms), self.depth))
+        self[name] = cut(rk.bm25_top(ix.Index.build(self.corpus, ANALYZER, text), self.terms, self.depth))
         return self[name]
 
 
@@ -159,7 +159,7 @@ def f7_relevance_floor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w9_normalised(spark: SparkSession, d: str) -> DataFrame:
-    return dv.normalise_scores(run_rows(spark, d).where("run_tag is not null")).select("run_tag", "query_id", "rank", F.round("score_normalised", 9).alias("score_normalised"))
+    return dv.normalise_scores(run_rows(spark, d).where("run_tag is not null"), ("run_tag", "query_id")).select("run_tag", "query_id", "rank", F.round("score_normalised", 9).alias("score_normalised"))
 
 
 def w10_document_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -391,7 +391,7 @@ _GOLDEN = (*_START, *_LINEAR, _QRELS, "ranking AS (SELECT query_id, atom_id AS d
 _RRF = "1.0 / (20 + {r})"
 _DCG = lambda r: f"sum(CASE WHEN {r} <= 10 THEN g / log2({r} + 1) ELSE 0 END)"
 _REL = "(1 / (1 + exp(-(score - 15))))"
-_MARKER = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
+_MARKER = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<<<KNOWLEDGE-PACK>>>|<<<END-KNOWLEDGE-PACK>>>"
 _NEUTRAL = lambda c: f"regexp_replace(regexp_replace({c}, '({_MARKER})', '[[neutralised:\\1]]', 'g'), '(?im)^([ \\t]*)(System:|Assistant:|User:|Human:)', '\\1[[neutralised:\\2]]', 'g')"
 
 ORACLES = {
@@ -417,7 +417,7 @@ ORACLES = {
     "w5_reading_order": sql.base(*_START, *_BODY_LEG, _POOL, _CAPPED(10), _ORDERED) + "SELECT query_id, atom_id, document, place FROM ordered",
     "w6_fit_budget": sql.base(*_START, *_BODY_LEG, _POOL, _BUDGET) + "SELECT query_id, atom_id, rank, cost, used FROM kept",
     "w8_confidence": sql.base(*_START, *_BODY_LEG) + f"SELECT q.query_id, CASE WHEN b.query_id IS NULL THEN 'none' WHEN b.relevance >= 0.4 THEN 'ok' ELSE 'weak' END AS confidence FROM queries q LEFT JOIN (SELECT query_id, {_REL} AS relevance FROM leg_body WHERE rank = 1) b USING (query_id)",
-    "w9_normalised": sql.base(_RUNS) + "SELECT run_tag, query_id, rank, round(CASE WHEN count(*) OVER w >= 2 AND max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 9) AS score_normalised FROM runs WINDOW w AS (PARTITION BY query_id)",
+    "w9_normalised": sql.base(_RUNS) + "SELECT run_tag, query_id, rank, round(CASE WHEN count(*) OVER w >= 2 AND max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 9) AS score_normalised FROM runs WINDOW w AS (PARTITION BY run_tag, query_id)",
     "w10_document_rollup": sql.base(*_START, *_BODY_LEG, "origins AS (SELECT atom_id, list_transform(list_filter(sources, lambda s: s IS NOT NULL), lambda s: regexp_extract(s, '([^/]+?)(?:\\.md)?$', 1)) AS ds FROM corpus)",
         "firsts AS (SELECT query_id, doc_id, min({'rank': rank, 'pos': i}) AS at1 FROM (SELECT query_id, rank, i, ds[i] AS doc_id FROM (SELECT query_id, rank, ds, unnest(range(1, len(ds) + 1)) AS i FROM leg_body JOIN origins USING (atom_id))) GROUP BY 1, 2)",
     ) + "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY at1, doc_id) AS rank FROM firsts",
@@ -428,7 +428,7 @@ ORACLES = {
         CASE WHEN row_number() OVER (PARTITION BY query_id, document ORDER BY place) = 1 THEN '## ' || {_NEUTRAL("coalesce(nullif(split_part(heading_chain, ' > ', 1), ''), nullif(title, ''), regexp_extract(document, '([^/]+?)(?:\\.[^.]*)?$', 1))")} || ' — ' || {_NEUTRAL('document')} || chr(10) || chr(10) ELSE '' END
         || '[^' || atom_id || ']' || CASE WHEN origin_index IS NOT NULL AND origin_count IS NOT NULL THEN ' (' || (origin_index + 1) || '/' || origin_count || ')' ELSE '' END || chr(10) || {_NEUTRAL("coalesce(body, '')")} AS block,
         len(regexp_extract_all(coalesce(body, ''), '{_MARKER}')) + len(regexp_extract_all(coalesce(body, ''), '(?im)^[ \\t]*(?:System:|Assistant:|User:|Human:)')) AS n FROM ordered)""")
-        + "SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY place)) AS pack_md5, string_agg(atom_id, ' ' ORDER BY place) AS citations, sum(n)::BIGINT AS markers FROM blocks GROUP BY 1",
+        + "SELECT query_id, md5('<<<KNOWLEDGE-PACK>>>' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY place) || chr(10) || '<<<END-KNOWLEDGE-PACK>>>') AS pack_md5, string_agg(atom_id, ' ' ORDER BY place) AS citations, sum(n)::BIGINT AS markers FROM blocks GROUP BY 1",
     "e_topic_metrics": sql.base(*_GOLDEN, _metrics_sql("ranking", 40)) + "SELECT query_id, " + ", ".join(f"round({m}, 9) AS {m}" for m in ev.METRICS) + " FROM metrics",
     "e_run_metrics": sql.base(_QRELS, _RUNS, _metrics_sql("hits", DEPTH, "hits")) + _macro_sql(keys="run_tag"),
     "e14_dataset_score": sql.base(*_GOLDEN, _metrics_sql("ranking", 40)) + _macro_sql(),

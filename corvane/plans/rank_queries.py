@@ -9,7 +9,7 @@ from corvane.functions import text as tx
 from corvane.operators import index as ix
 from corvane.operators import rank as rk
 from corvane.plans import sql
-from corvane.session import table
+from corvane.session import cut, table
 
 ANALYZER = "nostem-fold"
 K = 10
@@ -38,22 +38,22 @@ def body_index(spark: SparkSession, d: str) -> ix.Index:
 
 def r1_bm25_linear(spark: SparkSession, d: str) -> DataFrame:
     idx = linear_index(spark, d).stored()
-    return rk.top_k(rk.bm25(idx, rk.query_terms(queries_of(spark, d), ANALYZER)), K)
+    return rk.bm25_top(idx, rk.query_terms(queries_of(spark, d), ANALYZER), K)
 
 
 def r1_bm25_porter(spark: SparkSession, d: str) -> DataFrame:
     idx = linear_index(spark, d, "porter-fold").stored()
-    return rk.top_k(rk.bm25(idx, rk.query_terms(queries_of(spark, d), "porter-fold")), K)
+    return rk.bm25_top(idx, rk.query_terms(queries_of(spark, d), "porter-fold"), K)
 
 
 def r8_bm25_plus(spark: SparkSession, d: str) -> DataFrame:
     idx = body_index(spark, d).stored()
-    return rk.top_k(rk.bm25(idx, rk.query_terms(queries_of(spark, d), ANALYZER), b=0.7, delta=0.5), K)
+    return rk.bm25_top(idx, rk.query_terms(queries_of(spark, d), ANALYZER), K, b=0.7, delta=0.5)
 
 
 def r9_bm25_body(spark: SparkSession, d: str) -> DataFrame:
     idx = body_index(spark, d).stored()
-    return rk.top_k(rk.bm25(idx, rk.query_terms(queries_of(spark, d), ANALYZER)), K)
+    return rk.bm25_top(idx, rk.query_terms(queries_of(spark, d), ANALYZER), K)
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:
@@ -65,10 +65,8 @@ WEIGHTS = {"body": 1.0, "short": 2.0, "keywords": 1.5, "questions": 0.5}
 
 def _fts(spark: SparkSession, d: str, weights: dict[str, float], columns: tuple[str, ...], adjacency: bool = False) -> DataFrame:
     fields = _fields(spark, d) if len(columns) > 1 else ix.indexed_fields(corpus(spark, d))
-    pos = ix.positions(fields, ANALYZER, columns)
-    lengths = [F.size(tx.plain_terms(F.col(c), ANALYZER)) for c in columns]
-    docs = fields.select("atom_id", sum(lengths[1:], lengths[0]).alias("doc_len"))
-    return rk.top_k(rk.fts_bm25(pos, docs, rk.disjuncts(queries_of(spark, d), ANALYZER, adjacency), weights), K)
+    placed = cut(ix.placed_fields(fields, ANALYZER, columns))
+    return rk.fts_top(placed, ANALYZER, rk.disjuncts(queries_of(spark, d), ANALYZER, adjacency), weights, K)
 
 
 def r2_bm25_fts(spark: SparkSession, d: str) -> DataFrame:
@@ -95,8 +93,8 @@ def r7_phrase_hits(spark: SparkSession, d: str) -> DataFrame:
 def _prf(spark: SparkSession, d: str):
     idx = body_index(spark, d).stored()
     terms = rk.query_terms(queries_of(spark, d), ANALYZER, distinct=False)
-    first = rk.top_k(rk.bm25(idx, rk.query_terms(queries_of(spark, d), ANALYZER)), 10)
-    return idx, rk.rm3_weights(terms, first, idx.postings)
+    first = cut(rk.bm25_top(idx, rk.query_terms(queries_of(spark, d), ANALYZER), 10))
+    return idx, cut(rk.rm3_weights(terms, first, idx.postings))
 
 
 def r13_rm3_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +103,7 @@ def r13_rm3_weights(spark: SparkSession, d: str) -> DataFrame:
 
 def r14_prf_rescore(spark: SparkSession, d: str) -> DataFrame:
     idx, weights = _prf(spark, d)
-    return rk.top_k(rk.weighted_rescore(idx, weights.withColumn("weight", F.round("weight", 9))), K)
+    return rk.weighted_top(idx, weights.withColumn("weight", F.round("weight", 9)), K)
 
 
 def r17_sweep(spark: SparkSession, d: str) -> DataFrame:

@@ -185,3 +185,42 @@ def test_streaming_ingest(spark, tmp_path):
         (src / "b.md").write_text("# B\n" + "more " * 100)
     events = spark.createDataFrame([("2024-01-01 00:01:00", "x"), ("2024-01-01 00:02:00", "x")], "ts string, event_type string").selectExpr("cast(ts as timestamp) ts", "event_type")
     assert windowed_counts(events).first().n == 2
+
+
+def test_document_titles(spark):
+    from corvane.operators import chunking
+
+    fence = "```sh\n# install it\n```\n# Real Title\ntext"
+    assert chunking.document_title(fence) == "Real Title" and chunking.document_title("plain") is None
+    assert chunking.document_title("<!-- c -->\n---\ntitle: 'From matter'\n---\n# H") == "From matter" and chunking.document_title("---\nno keys\n---\n## Deep") == "Deep"
+    docs = spark.createDataFrame([("a/two-words.md", fence), ("a/two-words.md", "none"), ("b/x.y.md", None)], "source_path string, text string")
+    assert sorted(r.doc_title for r in ing.with_document_title(docs, "text", "source_path", ["source_path"]).collect()) == ["Real Title", "two words", "x.y"]
+
+
+def test_numbering_in_ranges_equals_one_window(spark):
+    rows = [("hot", i * 7 % 500 if i % 9 else None, f"a{i:04d}") for i in range(2_000)] + [("cold", 3, "b1"), ("cold", 1, "b2"), (None, None, "c1"), (None, 5, "c2")]
+    df = spark.createDataFrame(rows, "doc string, idx int, atom_id string")
+    whole = {tuple(r) for r in ing.numbered(df, ["doc"], ["idx", "atom_id"]).select("doc", "idx", "atom_id", "_i", "_n").collect()}
+    cut = {tuple(r) for r in ing.numbered(df, ["doc"], ["idx", "atom_id"], block=300).select("doc", "idx", "atom_id", "_i", "_n").collect()}
+    assert whole == cut and ("cold", 1, "b2", 1, 2) in whole and ("hot", None, "a1998", 2_000, 2_000) in whole and (None, None, "c1", 2, 2) in whole
+    assert ing.numbered(df.limit(0), ["doc"], ["idx"]).count() == 0
+
+
+def test_path_mapping(spark):
+    rules = lambda *r: spark.createDataFrame(r, "prefix string, label string")
+    df = spark.createDataFrame([("docs/a.md", 1), ("docs/adr/b.md", 2), ("doc.md", 3), (None, 4), ("docs/x/adrs.md", 5)], "p string, domain_ int")
+    got = {r.domain_: r for r in ing.map_paths(df, "p", rules(("docs/", "d"), ("docs/x", "x")), rules(("docs/a", "a")), [("adr", "adr"), ("x", "xx")], "other").collect()}
+    assert [(got[i].domain, got[i].doc_type) for i in range(1, 6)] == [("d", "a"), ("d", "adr"), (None, "other"), (None, "other"), ("x", "xx")]
+    assert got[1].skip_reason is None and "doc.md" in got[3].skip_reason and got[4].skip_reason
+
+
+def test_longest_segment_prefix(spark):
+    ids = spark.createDataFrame([("a-b-c",), ("a-bc",), ("ab",), (None,)], "i string")
+    known = spark.createDataFrame([("a",), ("a-b",), ("a-b",), ("c",)], "doc_id string")
+    assert {r.i: r.found_id for r in ing.longest_segment_prefix(ids, known, "i").collect()} == {"a-b-c": "a-b", "a-bc": "a", "ab": None, None: None}
+
+
+def test_domain_census_names_what_was_dropped(spark):
+    files = spark.createDataFrame([("docs", True), ("docs", False), ("notes", False), (None, True)], "domain string, ok boolean")
+    got = {r.domain: (r.files, r.indexed, r.declared, r.dropped) for r in ing.domain_census(files, ["docs", "wiki"]).collect()}
+    assert got == {"docs": (2, 1, True, False), "notes": (1, 0, False, True), "wiki": (0, 0, True, False)}

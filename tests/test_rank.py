@@ -4,7 +4,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.api import SearchRequest, search
+from corvane.api import Profile, SearchRequest, search
 from corvane.operators import index as ix
 from corvane.operators import rank as rk
 
@@ -31,8 +31,7 @@ def fts5(match):
 @pytest.mark.parametrize("text,match", [("fox", "fox"), ("quick-brown", '"quick brown"'), ("nothing fox", "nothing OR fox"), ("nothing nothing", "nothing OR nothing")])
 def test_fts_scores_equal_sqlite(spark, corpus, text, match):
     fields = ix.indexed_fields(corpus)
-    docs = fields.select("atom_id", F.size(F.split("body", " ")).alias("doc_len"))
-    got = rk.fts_bm25(ix.positions(fields, "nostem-fold", ("body",)), docs, rk.disjuncts(queries(spark, text), "nostem-fold"), {"body": 1.0})
+    got = rk.fts_top(ix.placed_fields(fields, "nostem-fold", ("body",)), "nostem-fold", rk.disjuncts(queries(spark, text), "nostem-fold"), {"body": 1.0}, 100)
     got, want = {r.atom_id: r.score for r in got.collect()}, fts5(match)
     assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-6 for i in want)
 
@@ -97,6 +96,65 @@ def test_search(spark, corpus, ranker):
         search(queries(spark, "x"), corpus, SearchRequest(domains=[]))
 
 
+def test_dense_and_hybrid_search(spark, corpus):
+    vectors = spark.createDataFrame([("aaa", [1.0, 0.0]), ("bbb", [0.0, 1.0]), ("ccc", [0.7, 0.7]), ("ddd", [-1.0, 0.0])], "atom_id string, embedding array<double>")
+    asked = spark.createDataFrame([("q0", [1.0, 0.1])], "query_id string, embedding array<double>")
+    q = queries(spark, "fox")
+    run = lambda **kw: [r.atom_id for r in search(q, corpus, SearchRequest(analyzer="nostem-fold", max_per_doc=None, **kw), vectors=vectors, query_vectors=asked).orderBy("rank").collect()]
+    assert run(k=3, ranker="dense") == ["aaa", "ccc", "bbb"]
+    assert run(k=2, ranker="hybrid") == ["aaa", "ccc"] and set(run(k=8, ranker="hybrid-full")) == {"aaa", "zzz", "bbb", "ccc", "ddd"}
+    assert run(k=2, ranker="hybrid", domains=["docs"]) == ["aaa", "ccc"]
+    assert set(run(k=10, ranker="fused", legs=("fts", "linear", "prf"))) == {"aaa", "bbb", "ccc", "zzz"}
+    with pytest.raises(ValueError, match="vectors"):
+        search(q, corpus, SearchRequest(ranker="dense"))
+
+
+@pytest.mark.parametrize(("kw", "message"), [
+    ({"types": ["review"], "exclude_types": ["plan"]}, "each state"), ({"types": ["reviews"]}, "unknown type"), ({"domains": ["dox"]}, "unknown domain"), ({"exclude_types": ["x"]}, "unknown type"), ({"ranker": "best"}, "unknown ranker"),
+    ({"analyzer": "none"}, "unknown analyzer"), ({"ranker": "fused", "legs": ("fts",)}, "two or more"), ({"ranker": "fused", "legs": ("fts", "fts")}, "two or more"), ({"ranker": "fused", "legs": ("fts", "body")}, "unknown leg"),
+    ({"exclude_types": ["review", "brainstorm"]}, "nothing could be searched"), ({"budget": 10, "overhead": 11}, "overhead"),
+])
+def test_requests_that_are_refused(spark, corpus, kw, message):
+    with pytest.raises(ValueError, match=message):
+        search(queries(spark, "fox"), corpus, SearchRequest(**kw), PROFILE)
+
+
+PROFILE = Profile(("docs",), ("review", "brainstorm"), ("brainstorm",))
+
+
+def test_the_profile_leaves_types_out(spark, corpus):
+    mixed = corpus.withColumn("atom_type", F.when(F.col("atom_id") == "aaa", "brainstorm").otherwise("review"))
+    run = lambda **kw: {r.atom_id for r in search(queries(spark, "fox"), mixed, SearchRequest(analyzer="nostem-fold", **kw), PROFILE).collect()}
+    assert run() == {"bbb", "ccc", "zzz"} and run(include_history=True) == {"aaa", "bbb", "ccc", "zzz"}
+    assert run(exclude_types=["review"]) == {"aaa"} == run(types=["brainstorm"])
+
+
+def test_overhead_is_part_of_the_budget(spark, corpus):
+    run = lambda overhead: search(queries(spark, "fox"), corpus, SearchRequest(analyzer="nostem-fold", budget=60, overhead=overhead)).count()
+    assert run(0) == 2 and run(30) == 1 and run(60) == 0
+
+
+def test_weights_beyond_the_broadcast_give_the_same_ranking(spark, corpus, monkeypatch):
+    q = rk.query_terms(queries(spark, "quick fox", "the jumps", "nothing"), "nostem-fold")
+    idx = ix.Index.build(corpus, "nostem-fold").stored()
+    want = [tuple(r) for r in rk.bm25_top(idx, q, 3).orderBy("query_id", "rank").collect()]
+    full = [tuple(r)[:3] for r in rk.top_k(rk.bm25(idx, q), 3).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(rk, "CELLS", 3)
+    assert [tuple(r) for r in rk.bm25_top(idx, q, 3).orderBy("query_id", "rank").collect()] == want and [t[:3] for t in want] == full
+    monkeypatch.setattr(rk, "fits", lambda df, limit=0: False)
+    assert [tuple(r) for r in rk.bm25_top(idx, q, 3).orderBy("query_id", "rank").collect()] == want
+
+
+def test_renderings_escape(spark):
+    from corvane.operators import deliver as dv
+
+    rows = spark.createDataFrame([("q", 2, "b", "d", None, 1.0, 'a <b> & "c"'), ("q", 1, "a'", "d", "T", None, None)], "query_id string, place int, atom_id string, document string, title string, score double, body string")
+    one = lambda f: f(rows).first().rendered
+    assert one(dv.render_xml) == '<atoms><atom place="1" id="a&apos;" document="d" title="T"></atom><atom place="2" id="b" document="d" title="">a &lt;b&gt; &amp; &quot;c&quot;</atom></atoms>'
+    import json
+    assert [x["atom_id"] for x in json.loads(one(dv.render_json))] == ["a'", "b"] and one(dv.render_text).startswith("1. T [a'] d\n\n\n2. b [b] d\na <b>")
+
+
 def test_dense_search_in_blocks_equals_brute_force(spark):
     import numpy as np
 
