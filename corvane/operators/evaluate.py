@@ -185,3 +185,28 @@ def metric_disagreement(recorded: DataFrame, recomputed: DataFrame, metrics: tup
 def random_recall(n_docs: int, depths: tuple[int, ...] = RECALL_DEPTHS) -> list[tuple[int, float]]:
     """(k, recall) a random ranking reaches: min(1, k / N)."""
     return [(k, min(1.0, k / n_docs) if n_docs else 0.0) for k in depths]
+
+
+def engine_metrics(ranking: DataFrame, golden: DataFrame, k: int) -> DataFrame:
+    """(query_id, retrieved, recall, reciprocal_rank) of each golden query: the share of its gold among the first k, and 1 / the first gold rank (0 without).
+
+    ranking: (query_id, doc_id, rank); golden: (query_id, doc_ids ARRAY), nulls and repeats of which do not count. A query without gold has null metrics.
+    """
+    gold = golden.select("query_id", F.array_distinct(F.array_compact(F.coalesce("doc_ids", F.array().cast("array<string>")))).alias("g")).dropDuplicates(["query_id"])
+    hits = ranking.join(gold, "query_id").groupBy("query_id").agg(
+        F.count("*").alias("retrieved"), F.count_distinct(F.when((F.col("rank") <= k) & F.array_contains("g", F.col("doc_id")), F.col("doc_id"))).alias("found"), F.min(F.when(F.array_contains("g", F.col("doc_id")), F.col("rank"))).alias("first"),
+    )
+    rows = gold.join(hits, "query_id", "left")
+    n = F.size("g")
+    return rows.select("query_id", F.coalesce("retrieved", F.lit(0)).alias("retrieved"), F.when(n > 0, F.coalesce("found", F.lit(0)) / n).alias("recall"), F.when(n > 0, F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("reciprocal_rank"))
+
+
+def engine_summary(metrics: DataFrame) -> DataFrame:
+    """One row: recall and mrr over the queries that have gold, and how many have and have not."""
+    return metrics.agg(F.round(F.avg("recall"), 9).alias("recall"), F.round(F.avg("reciprocal_rank"), 9).alias("mrr"), F.count("recall").alias("scored"), F.count_if(F.col("recall").isNull()).alias("unscorable"))
+
+
+def best_cell(cells: DataFrame, metric: str = "ndcg10") -> DataFrame:
+    """One row: the cell (k1, b) of a sweep with the greatest mean of the metric, of equal ones that with the lower b, then the lower k1. cells: (k1, b, query_id, metric)."""
+    means = cells.groupBy("k1", "b").agg(F.round(F.avg(metric), 9).alias(metric), F.count("*").alias("topics"))
+    return means.orderBy(F.desc(metric), "b", "k1").limit(1)

@@ -7,8 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-# Fields that set the scale of a run (a difference makes runs incomparable); all others label the treatment.
-SCALE_FIELDS = ("dataset", "corpus_digest", "qrels_digest", "depth", "topics", "metric_version")
+# Fields of a run's history row that set its scale (a difference makes runs incomparable), and those that name the treatment.
+SCALE_FIELDS = ("atomMaxChars", "depth", "rerankPool", "corpusBytes", "corpusLines", "atomCount")
+TREATMENT_FIELDS = (
+    "adapter", "rerank", "rerankProfile", "rerankWeight", "rerankModel", "rerankDocMaxChars", "rerankExtract", "hybridWeight", "tokenBudget", "servedK", "embedModel", "analyzer", "fieldWeights",
+    "enrichment", "bodySource", "keywordFilter", "enrichmentColumns", "queryAdjacency", "provenanceMerge", "prf", "prfDocs", "prfTerms", "prfAlpha", "fuseLegs", "typeFilter",
+)
+#: Fields that mean something only in a run that reranks, or that expands queries.
+RERANK_ONLY = ("rerankPool", "rerankProfile", "rerankWeight", "rerankModel", "rerankDocMaxChars", "rerankExtract")
+PRF_ONLY = ("prfDocs", "prfTerms", "prfAlpha")
+
+
+def changed_fields(previous: dict, latest: dict, defaults: dict | None = None) -> list[dict]:
+    """[{field, kind, before, after}] of two history rows. A field that a row lacks has its default; one that does not apply to either run is not compared."""
+    value = lambda row, f: row[f] if row.get(f) is not None else (defaults or {}).get(f)
+    on = lambda f: bool(value(previous, f)) or bool(value(latest, f))
+    out = []
+    for f in (*SCALE_FIELDS, *TREATMENT_FIELDS):
+        if (f in RERANK_ONLY and not on("rerank")) or (f in PRF_ONLY and not on("prf")):
+            continue
+        before, after = value(previous, f), value(latest, f)
+        if before != after:
+            out.append({"field": f, "kind": "scale" if f in SCALE_FIELDS else "treatment", "before": before, "after": after})
+    return out
+
 
 
 def long_form(history: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.api import Profile, SearchRequest, dense_leg, type_filter
 from corvane.functions import text as tx
 from corvane.operators import deliver as dv
 from corvane.operators import evaluate as ev
@@ -274,6 +275,104 @@ def e35_metric_disagreement(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "metric", F.round("recorded", 9).alias("recorded"), F.round("recomputed", 9).alias("recomputed"))
 
 
+def e35_late_loads(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of each run's topics as recorded from the rows that were loaded within a week, against those of all rows."""
+    rows = table(spark, d, "run_hits")
+    w = Window.partitionBy("run_tag", "query_id", "rank_no").orderBy(F.desc("loaded_at"), F.desc("hit_no"))
+
+    def metrics(part: DataFrame) -> DataFrame:
+        last = part.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("run_tag", "query_id", reference_value("atom_id").alias("doc_id"), F.col("rank_no").alias("rank"))
+        hits = ev.clean_ranking(last, ["run_tag", "query_id"])
+        m = ev.topic_metrics(hits, qrels(spark, d), DEPTH, every)
+        return m.select(F.concat_ws("@", "query_id", "run_tag").alias("query_id"), "ndcg10", "mrr10")
+
+    every = rows.where("run_tag is not null").select("run_tag", "query_id").distinct()
+    named = rows.where("run_tag is not null")
+    out = ev.metric_disagreement(metrics(named.where("loaded_at <= run_at + interval 7 days")), metrics(named), ("ndcg10", "mrr10"))
+    return out.select("query_id", "metric", F.round("recorded", 9).alias("recorded"), F.round("recomputed", 9).alias("recomputed"))
+
+
+def e22_collapsing_run_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Topics asked by several runs: each run's copy of a golden query has the same text and gold as the others."""
+    runs = run_rows(spark, d).select("run_tag", "query_id").where("run_tag is not null").distinct()
+    named = F.concat_ws("@", "query_id", "run_tag").alias("query_id")
+    golden = table(spark, d, "golden_queries").select("query_id", "query_text").distinct()
+    return ev.collapsing_topics(runs.join(golden, "query_id").select(named, "query_text"), runs.join(qrels(spark, d), "query_id").select(named, "doc_id", "grade"))
+
+
+def e17_engine_metrics(spark: SparkSession, d: str) -> DataFrame:
+    golden = table(spark, d, "golden_queries").select("query_id", F.transform("relevant_atom_ids", lambda x: reference_value(x)).alias("doc_ids"))
+    m = ev.engine_metrics(golden_ranking(spark, d), golden, 10)
+    return m.select("query_id", "retrieved", F.round("recall", 9).alias("recall"), F.round("reciprocal_rank", 9).alias("reciprocal_rank"))
+
+
+def e17_engine_summary(spark: SparkSession, d: str) -> DataFrame:
+    return ev.engine_summary(e17_engine_metrics(spark, d))
+
+
+def r17_best_cell(spark: SparkSession, d: str) -> DataFrame:
+    """The best cell of the sweep by nDCG@10 over the judged topics; the baseline is one of the cells."""
+    idx = ix.Index.build(corpus(spark, d), ANALYZER, text_of()).stored()
+    grid = spark.createDataFrame([(k1, b) for k1 in (0.9, 1.2, 1.5) for b in (0.4, 0.75)], "k1 double, b double")
+    top = rk.top_k(rk.sweep(idx, rk.query_terms(queries_of(spark, d), ANALYZER), grid), 10, ("k1", "b", "query_id"))
+    cell = F.concat_ws(" ", F.col("k1").cast("string"), F.col("b").cast("string"))
+    ranking = cut(top.select(cell.alias("run_tag"), "query_id", F.col("atom_id").alias("doc_id"), "rank"))
+    gold = qrels(spark, d)
+    every = grid.select(cell.alias("run_tag")).crossJoin(gold.select("query_id").distinct())  # the grid has a few cells
+    m = ev.topic_metrics(ranking, gold, 10, every)
+    at = F.split("run_tag", " ")
+    return ev.best_cell(m.select(at[0].cast("double").alias("k1"), at[1].cast("double").alias("b"), "query_id", "ndcg10"))
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return rk.hashed_vectors(corpus(spark, d), "atom_id", tx.tokenize(F.col("body"))), rk.hashed_vectors(queries_of(spark, d), "query_id", tx.tokenize(F.col("query_text")))
+
+
+def _hybrid_legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    vectors, asked = _vectors(spark, d)
+    return _legs(spark, d)["body"], dense_leg(vectors, asked, LEG_DEPTH)
+
+
+def r10_dense_leg(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest atoms of each query by cosine of hashed term vectors."""
+    return _hybrid_legs(spark, d)[1].select("query_id", "atom_id", "score", "rank")
+
+
+def r11_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """A lexical and a dense leg by reciprocal ranks, cut to the first 10."""
+    return fu.fuse_legs(*_hybrid_legs(spark, d)).where("rank <= 10")
+
+
+def u5_served_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Two served legs with uniform weights."""
+    legs = _legs(spark, d)
+    rows = legs["linear"].select(F.lit("linear").alias("leg"), "query_id", "atom_id", "rank").unionByName(legs["body"].select(F.lit("body").alias("leg"), "query_id", "atom_id", "rank"))
+    weights = spark.createDataFrame([("served", "linear", 0.5), ("served", "body", 0.5)], "fusion string, leg string, weight double")
+    return fu.fuse_many(rows, weights).where("rank <= 10").drop("fusion")
+
+
+PROFILE = Profile(("adr", "docs", "misc", "runner", "standards"), (*KNOWN_TYPES, "brainstorm", "lessons-learned", "plan", "research", "runner-rule", "teaching", "vendor-doc"), ("brainstorm", "plan"))
+
+
+def f3_default_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    """Atoms of the types that a search covers unless it says otherwise."""
+    return corpus(spark, d).where(dv.member_of("atom_type", type_filter(SearchRequest(), PROFILE))).select("atom_id", "atom_type")
+
+
+def w7_reserved_budget(spark: SparkSession, d: str) -> DataFrame:
+    """A byte budget of which the rendering has reserved a part."""
+    served = _pool_with_docs(spark, d).where("rank <= 10")
+    return dv.fit_budget(served, tx.byte_size(F.coalesce("body", F.lit(""))), 8_000, 500)
+
+
+def e40_cross_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Two rankers as two systems: paired tests of all metrics of a cross pairing."""
+    legs, q = _legs(spark, d), qrels(spark, d)
+    m = lambda leg: ev.topic_metrics(leg.select("query_id", F.col("atom_id").alias("doc_id"), "rank"), q, LEG_DEPTH).select("query_id", *(F.round(c, 9).alias(c) for c in sg.CROSS_METRICS))
+    out = sg.cross_pairing(m(legs["title"]), m(legs["linear"]))
+    return out.select("metric", "topics", *(F.round(c, 9).alias(c) for c in ("mean_difference", "p_value", "ci_low", "ci_high")), "significant")
+
+
 # The same over the depth that evaluation and the pools of delivery call for.
 
 
@@ -316,6 +415,7 @@ QUERIES = {
         f2_type_and_domain, f4_live_atoms, f5_known_type, f7_relevance_floor,
         w3_cap_per_document, w5_reading_order, w6_fit_budget, w8_confidence, w9_normalised, w10_document_rollup, w11_atom_spread, w13_percentiles, w15_pack,
         e_topic_metrics, e_run_metrics, e13_strata, e14_dataset_score, e15_forensics, e16_gold_in_budget, e18_significance, e21_gold_audit, e22_collapsing_topics, e24_reachability, e26_metric_delta, e27_regression_gate, e31_recall_curves, e33_legacy_ndcg, e34_random_recall, e35_metric_disagreement,
+        e35_late_loads, e22_collapsing_run_topics, e17_engine_metrics, e17_engine_summary, r17_best_cell, r10_dense_leg, r11_hybrid, u5_served_fusion, f3_default_exclusion, w7_reserved_budget, e40_cross_pairs,
         u6_fusion_grid_deep, u8_rerank_deep, w3_cap_per_document_deep, w5_reading_order_deep, w15_pack_deep, e_topic_metrics_deep, e14_dataset_score_deep, e31_recall_curves_deep,
     )
 }
@@ -471,3 +571,63 @@ ORACLES |= {
     "e14_dataset_score_deep": sql.base(*_DEEP_METRICS) + _macro_sql(),
     "e31_recall_curves_deep": sql.base(*_DEEP_METRICS, f"macro AS ({_macro_sql()})") + " UNION ALL ".join(f"SELECT {k} AS k, recall{k} AS recall FROM macro" for k in ev.RECALL_DEPTHS),
 }
+
+_RAND = """(SELECT i, topic, diff, n, xor(t2, t2 >> 14) / 4294967296.0 AS u FROM (SELECT *, xor((t + ((xor(t, t >> 7)::HUGEINT * (t | 61)) % 4294967296)::BIGINT) & 4294967295, t) AS t2 FROM (
+  SELECT *, ((xor(a, a >> 15)::HUGEINT * (a | 1)) % 4294967296)::BIGINT AS t FROM (SELECT i, topic, diff, n, ({seed} + ({stride}::HUGEINT * (i * n + topic) % 4294967296)::BIGINT) & 4294967295 AS a FROM {source}))))"""
+
+
+def _draws_sql(metrics: tuple[str, ...]) -> str:
+    """The paired statistics of mb minus ma for each metric, with the generator written out in integers."""
+    rand = lambda seed: _RAND.format(seed=seed, stride=sg.STRIDE, source="(SELECT i, topic, CAST(NULL AS DOUBLE) AS diff, n FROM its, (SELECT topic FROM numbered), (SELECT count(*) AS n FROM numbered))")
+    longer = " UNION ALL ".join(f"SELECT topic, '{m}' AS metric, {m} AS diff FROM numbered" for m in metrics)
+    return ",\n".join((
+        "numbered AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS topic, " + ", ".join(f"round(b.{m}, 9) - round(a.{m}, 9) AS {m}" for m in metrics) + " FROM ma a JOIN mb b USING (query_id))",
+        f"its AS (SELECT unnest(range({sg.ITERATIONS})) AS i)", f"longer AS ({longer})", "means AS (SELECT metric, count(*) AS topics, avg(diff) AS mean_difference FROM longer GROUP BY 1)",
+        f"signs AS (SELECT i, topic, u < 0.5 AS flip FROM {rand(sg.PERMUTATION_SEED)})",
+        "flipped AS (SELECT metric, i, sum(CASE WHEN flip THEN -diff ELSE diff END) / (SELECT count(*) FROM numbered) AS m FROM signs JOIN longer USING (topic) GROUP BY 1, 2)",
+        f"tested AS (SELECT metric, topics, mean_difference, (count(*) FILTER (abs(m) >= abs(mean_difference) - 1e-12) + 1) / {sg.ITERATIONS + 1}.0 AS p_value FROM flipped JOIN means USING (metric) GROUP BY 1, 2, 3)",
+        f"picks AS (SELECT i, least(n - 1, floor(u * n))::BIGINT AS topic FROM {rand(sg.BOOTSTRAP_SEED)})",
+        "resampled AS (SELECT metric, i, sum(diff) / (SELECT count(*) FROM numbered) AS m FROM picks JOIN longer USING (topic) GROUP BY 1, 2)",
+        f"spread AS (SELECT metric, list_sort(list(m)) AS ms FROM resampled GROUP BY 1)",
+        f"paired AS (SELECT metric, topics, mean_difference, p_value, ms[{int(0.025 * (sg.ITERATIONS - 1) + 0.5) + 1}] AS ci_low, ms[{int(0.975 * (sg.ITERATIONS - 1) + 0.5) + 1}] AS ci_high FROM tested JOIN spread USING (metric))",
+    ))
+
+
+_PAIR = (*_START, *_TITLE, *_LINEAR, _QRELS, "ra AS (SELECT query_id, atom_id AS doc_id, rank FROM leg_title)", "rb AS (SELECT query_id, atom_id AS doc_id, rank FROM leg_linear)", _metrics_sql("ra", 40, name="ma"), _metrics_sql("rb", 40, name="mb"))
+_CROSS_THERE = tuple(m for m in sg.CROSS_METRICS if m != "recall100")
+_RECALL = "coalesce(len(list_filter(found, lambda x: list_contains(g, x))), 0) / len(g)"
+_VECTORS = lambda name, source, key, text: f"""{name} AS (SELECT {key}, list(v ORDER BY slot) AS e FROM (SELECT {key}, slot, coalesce(v, 0.0) AS v FROM (SELECT DISTINCT {key}, unnest(range(64)) AS slot FROM th_{name}) LEFT JOIN
+  (SELECT {key}, h % 64 AS slot, sum(CASE WHEN (h // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM th_{name} GROUP BY 1, 2) USING ({key}, slot)) GROUP BY 1)"""
+_HASHED = lambda name, source, key, text: f"th_{name} AS (SELECT {key}, ('0x' || left(md5(t), 8))::BIGINT AS h FROM (SELECT {key}, unnest({sql.tok(text)}) AS t FROM {source}))"
+_DENSE = (
+    _HASHED("av", "corpus", "atom_id", "body"), _VECTORS("av", "corpus", "atom_id", "body"), _HASHED("qv", "queries", "query_id", "query_text"), _VECTORS("qv", "queries", "query_id", "query_text"),
+    "near AS (SELECT query_id, atom_id, round(list_cosine_similarity(qv.e, av.e), 9) AS score FROM qv, av WHERE list_max(list_transform(qv.e, lambda x: abs(x))) > 0 AND list_max(list_transform(av.e, lambda x: abs(x))) > 0)", sql.ranked("near", LEG_DEPTH, "leg_dense"),
+)
+_LATE = lambda name, where: f"""{name} AS (SELECT run_tag, query_id, doc_id, row_number() OVER (PARTITION BY run_tag, query_id ORDER BY rank, doc_id) AS rank FROM (SELECT run_tag, query_id, doc_id, min(rank) AS rank FROM (
+  SELECT run_tag, query_id, {_REF('atom_id')} AS doc_id, rank_no AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_tag, query_id, rank_no ORDER BY loaded_at DESC, hit_no DESC) AS rn FROM run_hits WHERE run_tag IS NOT NULL{where}) WHERE rn = 1) WHERE doc_id IS NOT NULL GROUP BY 1, 2, 3))"""
+
+ORACLES |= {
+    "e18_significance": sql.base(*_PAIR, _draws_sql(("ndcg10",))) + "SELECT topics, mean_difference, p_value, ci_low, ci_high FROM paired",
+    "e40_cross_pairs": sql.base(*_PAIR, _draws_sql(_CROSS_THERE)) + f"SELECT metric, topics, round(mean_difference, 9) AS mean_difference, round(p_value, 9) AS p_value, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, p_value < 0.05 AS significant FROM (VALUES {', '.join(chr(40) + repr(m) + chr(41) for m in sg.CROSS_METRICS)}) v(metric) LEFT JOIN paired USING (metric)",
+    "e35_late_loads": sql.base(_QRELS, "every AS (SELECT DISTINCT run_tag, query_id FROM run_hits WHERE run_tag IS NOT NULL)", _LATE("ra", " AND loaded_at <= run_at + INTERVAL 7 DAY"), _LATE("rb", ""), _metrics_sql("ra", DEPTH, "every", "ma"), _metrics_sql("rb", DEPTH, "every", "mb"),
+        "longer AS (" + " UNION ALL ".join(f"SELECT a.query_id || '@' || a.run_tag AS query_id, '{m}' AS metric, a.{m} AS recorded, b.{m} AS recomputed FROM ma a JOIN mb b ON a.query_id = b.query_id AND a.run_tag = b.run_tag" for m in ("ndcg10", "mrr10")) + ")")
+        + "SELECT query_id, metric, round(recorded, 9) AS recorded, round(recomputed, 9) AS recomputed FROM longer WHERE abs(recorded - recomputed) > 1e-4",
+    "e22_collapsing_run_topics": sql.base(_QRELS, "gold AS (SELECT query_id, string_agg(doc_id, chr(10) ORDER BY doc_id) AS gold FROM qrels GROUP BY 1)", "asked AS (SELECT DISTINCT run_tag, query_id FROM run_hits WHERE run_tag IS NOT NULL)")
+        + "SELECT query_id, n_same FROM (SELECT query_id || '@' || run_tag AS query_id, count(*) OVER (PARTITION BY trim(query_text, ' '), gold) AS n_same FROM asked JOIN (SELECT DISTINCT query_id, query_text FROM golden_queries) USING (query_id) JOIN gold USING (query_id)) WHERE n_same > 1",
+    "e17_engine_metrics": sql.base(*_START, *_LINEAR, f"gg AS (SELECT DISTINCT ON (query_id) query_id, list_distinct(list_filter(list_transform(coalesce(relevant_atom_ids, []), lambda v: {_REF('v')}), lambda x: x IS NOT NULL)) AS g FROM golden_queries)",
+        "ff AS (SELECT query_id, count(*) AS retrieved, list(atom_id ORDER BY rank) FILTER (rank <= 10) AS found, list(atom_id ORDER BY rank) AS every FROM leg_linear GROUP BY 1)",
+        "mm AS (SELECT query_id, coalesce(retrieved, 0) AS retrieved, CASE WHEN len(g) > 0 THEN " + _RECALL + " END AS recall, CASE WHEN len(g) > 0 THEN coalesce(1 / list_min(list_filter(list_transform(g, lambda x: list_position(every, x)), lambda p: p > 0)), 0) END AS rr FROM gg LEFT JOIN ff USING (query_id))",
+    ) + "SELECT query_id, retrieved, round(recall, 9) AS recall, round(rr, 9) AS reciprocal_rank FROM mm",
+    "r10_dense_leg": sql.base(*_START, *_DENSE) + "SELECT query_id, atom_id, score, rank FROM leg_dense",
+    "r11_hybrid": sql.base(*_START, *_BODY_LEG, *_DENSE, "fused AS (SELECT query_id, atom_id, a.rank AS r1, b.rank AS r2, round(coalesce(0.5 / (20 + a.rank), 0) + coalesce(0.5 / (20 + b.rank), 0), 12) AS score FROM leg_body a FULL JOIN leg_dense b USING (query_id, atom_id))")
+        + "SELECT * FROM (" + _FUSED.format(nulls="ASC NULLS LAST") + ") WHERE rank <= 10",
+    "u5_served_fusion": sql.base(*_START, *_LINEAR, *_BODY_LEG, "scores AS (SELECT query_id, atom_id, round(sum(0.5 / (20 + rank)), 12) AS score FROM (SELECT query_id, atom_id, rank FROM leg_linear UNION ALL SELECT query_id, atom_id, rank FROM leg_body) GROUP BY 1, 2)", sql.ranked("scores", 10)) + "SELECT query_id, atom_id, score, rank FROM ranked",
+    "f3_default_exclusion": sql.base(sql.CORPUS) + "SELECT atom_id, atom_type FROM corpus WHERE atom_type IN (" + ", ".join(f"'{t}'" for t in PROFILE.types if t not in PROFILE.excluded_types) + ")",
+    "w7_reserved_budget": sql.base(*_START, *_BODY_LEG, _POOL, _BUDGET.replace("<= 8000", "<= 7500")) + "SELECT query_id, atom_id, rank, cost, used + 500 AS used FROM kept",
+}
+ORACLES["e17_engine_summary"] = f"SELECT round(avg(recall), 9) AS recall, round(avg(reciprocal_rank), 9) AS mrr, count(recall) AS scored, count(*) FILTER (recall IS NULL) AS unscorable FROM ({ORACLES['e17_engine_metrics']})"
+ORACLES["r17_best_cell"] = sql.base(sql.CORPUS, sql.QUERIES, sql.INDEX, sql.QTERMS, _QRELS, "grid AS (SELECT k1, b FROM (VALUES (0.9::DOUBLE), (1.2), (1.5)) x(k1), (VALUES (0.4::DOUBLE), (0.75)) y(b))",
+    """scores AS (SELECT k1, b, query_id, atom_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * (k1 + 1.0) / (tf + k1 * (1 - b + b * doc_len / avg_len)))), 9) AS score
+    FROM qterms JOIN postings USING (term) JOIN df USING (term) JOIN docs USING (atom_id) CROSS JOIN stats CROSS JOIN grid GROUP BY 1, 2, 3, 4)""",
+    sql.ranked(k=10, keys="k1, b, query_id"), "hits AS (SELECT k1 || ' ' || b AS run_tag, query_id, atom_id AS doc_id, rank FROM ranked)", "every AS (SELECT k1 || ' ' || b AS run_tag, query_id FROM grid, (SELECT DISTINCT query_id FROM qrels))", _metrics_sql("hits", 10, "every"),
+) + "SELECT split_part(run_tag, ' ', 1)::DOUBLE AS k1, split_part(run_tag, ' ', 2)::DOUBLE AS b, round(avg(ndcg10), 9) AS ndcg10, count(*) AS topics FROM metrics GROUP BY 1, 2 ORDER BY 3 DESC, 2, 1 LIMIT 1"

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions.text import safe_id
 
 
+def _line_order() -> Column:
+    """Where a line stands: its file, the block of the file, and its place in the block."""
+    return F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+
+
 def read_beir_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, title, text) of corpus.jsonl; empty ids go, ids are made safe, and two ids that become one are refused."""
     raw = spark.read.schema("_id string, title string, text string").json(path).where("_id <> ''")
@@ -28,7 +33,7 @@ def read_beir_queries(spark: SparkSession, path: str) -> DataFrame:
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, doc_id, grade) of a tab-separated file with a header; of a repeated pair the last line holds."""
     raw = spark.read.option("sep", "\t").option("header", "true").schema("query_id string, doc string, grade int").csv(path)
-    last = raw.withColumn("at", F.monotonically_increasing_id())  # in file order
+    last = raw.withColumn("at", _line_order())
     w = Window.partitionBy("query_id", "doc").orderBy(F.desc("at"))
     return last.withColumn("n", F.row_number().over(w)).where("n = 1").select("query_id", safe_id(F.col("doc")).alias("doc_id"), F.coalesce("grade", F.lit(0)).alias("grade"))
 
@@ -122,6 +127,35 @@ def read_topic_metrics(spark: SparkSession, path: str, metrics: tuple[str, ...])
     return raw.select("query_id", *(F.expr(f"try_cast(`{m}` as double)").alias(m) for m in metrics))
 
 
+def format_scores(ranking: DataFrame, rerank: bool = False) -> DataFrame:
+    """(query_id, rank, value): tab-separated lines of query, rank, document and score, with the scores before and after a rerank; null scores are empty cells.
+
+    ranking: query_id, doc_id, rank, score[, first_pass_score, rerank_score].
+    """
+    cells = ["query_id", "rank", "doc_id", "score", *(["first_pass_score", "rerank_score"] if rerank else [])]
+    return ranking.select("query_id", "rank", F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cells)).alias("value"))
+
+
+def write_scores(ranking: DataFrame, path: str, rerank: bool = False) -> None:
+    """The same as CSV files with a header, a topic's lines together and in rank order."""
+    cells = ["query_id", "rank", "doc_id", "score", *(["first_pass_score", "rerank_score"] if rerank else [])]
+    ranking.select(*cells).repartition("query_id").sortWithinPartitions("query_id", "rank").write.mode("overwrite").option("sep", "\t").option("header", "true").option("nullValue", "").csv(path)
+
+
+def format_enrichment(records: DataFrame) -> DataFrame:
+    """(value): a JSON line a record, its keys in order, as read_enrichment() reads it."""
+    return records.select(F.to_json(F.struct(*sorted(records.columns)), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_enrichment(records: DataFrame, path: str) -> None:
+    format_enrichment(records).write.mode("append").text(path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """All rows that append_history() wrote."""
+    return spark.read.json(path)
+
+
 def append_history(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
@@ -129,7 +163,7 @@ def append_history(rows: DataFrame, path: str) -> None:
 def read_enrichment(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The sidecar's records, the last of each id, and one row with the number of malformed lines."""
     fields = "key string, docKey string, variant string, unit string, id string, source string, promptVersion int, model string, short string, long string, doc_description string, keywords array<string>, entities array<string>, questions array<string>"
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where("trim(value) <> ''")  # in file order
+    lines = spark.read.text(path).withColumn("at", _line_order()).where("trim(value) <> ''")
     parsed = lines.withColumn("r", F.from_json("value", fields, {"mode": "PERMISSIVE"}))
     ok = "r.id is not null and r.key is not null and r.short is not null and r.long is not null"
     good = parsed.where(ok).select("at", "r.*")

@@ -28,7 +28,7 @@ def read_markdown(spark: SparkSession, roots: list[str], exclude: tuple[str, ...
     parts = []
     for root in roots:
         df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
-        if not df.inputFiles():
+        if not df.select("_metadata.file_path").limit(1).count():  # reads no further than the first file
             raise ValueError(f"the root {root} holds no Markdown file")
         parts.append(df.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("source_path"), F.col("value").alias("text")))
     out = parts[0]
@@ -114,5 +114,6 @@ def write_atoms(atoms: DataFrame, path: str, owner: str) -> None:
         row = None
     if row is not None and row.value != owner:
         raise ValueError(f"{path} belongs to {row.value!r}, not {owner!r}")
+    if row is None:  # the folder is claimed before anything of it is replaced
+        spark.createDataFrame([(owner,)], "value string").write.mode("overwrite").text(stamp)
     atoms.write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(owner,)], "value string").write.mode("overwrite").text(stamp)

@@ -129,3 +129,55 @@ def test_registered_recall_curve_has_every_depth(spark, tiny):
     rows = {r.k: r.recall for r in registry.queries()["e31_recall_curves_deep"](spark, tiny).collect()}
     curve = [rows[k] for k in ev.RECALL_DEPTHS]
     assert None not in curve and curve == sorted(curve)
+
+
+def test_blocks_of_draws_equal_the_columns(spark):
+    import numpy as np
+
+    u = sg._random_block(sg.BOOTSTRAP_SEED, np.arange(2_000, dtype=np.uint64) * np.uint64(7_919))
+    want = [r.u for r in spark.range(2_000).select("id", sg.unit_random(sg.BOOTSTRAP_SEED, F.col("id") * 7_919).alias("u")).orderBy("id").collect()]
+    assert u.tolist() == want
+
+
+def test_cross_pairing(spark):
+    rows = lambda shift: spark.createDataFrame([(f"q{i}", 0.1 * (i % 7) + shift * (i % 3), None if i == 3 else 0.5) for i in range(40)], "query_id string, ndcg10 double, recall10 double")
+    got = {r.metric: r for r in sg.cross_pairing(rows(0.0), rows(0.2), ("ndcg10", "recall10")).collect()}
+    assert got["ndcg10"].significant and got["ndcg10"].topics == 40 and got["ndcg10"].ci_low > 0 and got["recall10"].p_value is None
+    with pytest.raises(ValueError):
+        sg.cross_pairing(rows(0.0), rows(0.0).where("query_id <> 'q1'"), ("ndcg10",))
+
+
+def test_paired_verdict(spark):
+    scores = {p: spark.createDataFrame([(f"q{i}", 0.5 + (i % 5) * d) for i in range(n)], "query_id string, ndcg10 double") for p, n, d in (("a", 30, 0.0), ("b", 30, 0.1), ("c", 29, 0.1))}
+    row = lambda **kw: {"ts": "t", "adapter": "x", "depth": 100, "perTopic": "a", **kw}
+    say = lambda b, metric="ndcg10": sg.paired_verdict(row(), b, metric, scores.get)
+    assert say(row(depth=50))["kind"] == "provenance-changed" and say(row(perTopic=None))["kind"] == "unattributable-run"
+    assert say(row(perTopic="zz"))["kind"] == "missing-per-topic" and say(row(perTopic="c"))["kind"] == "topics-differ"
+    v = say(row(perTopic="b", analyzer="y"))
+    assert v["kind"] == "verdict" and v["significant"] and [a["field"] for a in v["arms"]] == ["analyzer"]
+    scores["n"] = scores["a"].withColumn("ndcg10", F.lit(None).cast("double"))
+    assert say(row(perTopic="n"))["kind"] == "metric-unavailable"
+    assert not __import__("corvane.operators.runs", fromlist=["x"]).changed_fields(row(), row(rerankPool=5, prfDocs=3))
+
+
+def test_engine_metrics(spark):
+    ranking = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 1)], "query_id string, doc_id string, rank int")
+    golden = spark.createDataFrame([("a", ["y", "y", None, "w"]), ("b", []), ("c", ["q"])], "query_id string, doc_ids array<string>")
+    got = {r.query_id: tuple(r)[1:] for r in ev.engine_metrics(ranking, golden, 10).collect()}
+    assert got == {"a": (2, 0.5, 0.5), "b": (1, None, None), "c": (0, 0.0, 0.0)}
+    s = ev.engine_summary(ev.engine_metrics(ranking, golden, 10)).first()
+    assert (s.recall, s.mrr, s.scored, s.unscorable) == (0.25, 0.25, 2, 1)
+
+
+def test_best_cell_breaks_ties(spark):
+    cells = spark.createDataFrame([(1.2, 0.75, "q", 0.5), (0.9, 0.4, "q", 0.5), (1.5, 0.4, "q", 0.5), (0.9, 0.75, "q", 0.4)], "k1 double, b double, query_id string, ndcg10 double")
+    assert tuple(ev.best_cell(cells).first())[:2] == (0.9, 0.4)
+
+
+def test_identifier_gap_takes_the_rarest_part(spark):
+    from corvane.operators import rank as rk
+
+    df = spark.createDataFrame([("retri", 5), ("polici", 2), ("cach", 1)], "term string, df long")
+    q = spark.createDataFrame([("a", "retry_policy cache.size x"), ("b", None), ("c", "retry-nothing")], "query_id string, query_text string")
+    got = {r.query_id: (r.n_terms, r.n_gaps, r.gap_terms) for r in rk.vocabulary_gap(q, df, "ident-porter-fold").collect()}
+    assert got["a"][2] == "cache_size size x" and got["c"][2] == "noth retry_nothing" and "b" not in got

@@ -161,7 +161,7 @@ def test_synthetic_corpus_is_deterministic(spark):
 
 def test_runs(spark):
     h = spark.createDataFrame([("d", 1, "a", None, 0.5), ("d", 2, "a", "7", 0.4), ("d", 3, "b", "7", None)], "dataset string, run_at int, corpus_digest string, pool string, ndcg10 double")
-    got = {(r.run_at, r.field, r.kind, r.before, r.after) for r in runs.provenance_diff(h, ["corpus_digest", "pool"], {"pool": "7"}).collect()}
+    got = {(r.run_at, r.field, r.kind, r.before, r.after) for r in runs.provenance_diff(h, ["corpus_digest", "pool"], {"pool": "7"}, ("corpus_digest",)).collect()}
     assert got == {(3, "corpus_digest", "scale", "a", "b")}
     assert [r.gate for r in runs.metric_deltas(h, ["ndcg10"]).orderBy("run_at").collect()] == ["first", "fail", "first"]
     p = spark.createDataFrame([("x/run-1",), ("x/run-2",)], "path string")
