@@ -61,61 +61,59 @@ def indexed_fields(atoms: DataFrame, enrichment: DataFrame | None = None, body_s
     raise ValueError(f"unknown body_source {body_source!r}")
 
 
-#: The postings of one document in one row.
-FORWARD = "atom_id, doc_len, terms array<struct<term, tf>>"
-
-
 @dataclass
 class Index:
-    """postings: (atom_id, doc_len, term, tf); its statistics cover every document, whatever is filtered later."""
+    """postings: (atom_id, doc_len, term, tf), partitioned by document; its statistics cover every document, whatever is filtered later.
+
+    rows holds a document in one row: (atom_id, doc_len, terms), terms being either its terms in their order or array<struct<term, tf>>.
+    """
 
     postings: DataFrame
     docs: DataFrame  # (atom_id, doc_len)
     analyzer: str
-    rows: DataFrame | None = None  # FORWARD, written to the checkpoint folder
-
-    def by_document(self) -> DataFrame:
-        """The postings partitioned by document, so that sums over a document's terms stay in its task."""
-        return self.postings if self.rows is None else self.postings.repartition("atom_id")
-
-    def forward(self) -> DataFrame:
-        """FORWARD: a row a document, so that a task that scores it needs nothing else."""
-        if self.rows is not None:
-            return self.rows
-        listed = self.postings.groupBy("atom_id", "doc_len").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
-        return listed.unionByName(self.docs.where("doc_len = 0").withColumn("terms", F.array().cast("array<struct<term:string,tf:bigint>>")))
+    rows: DataFrame
+    kept: bool = False  # rows are written
 
     @staticmethod
     def build(corpus: DataFrame, analyzer: str, text: Column | None = None) -> Index:
-        """corpus: one row an atom_id. Documents without terms count in N and in the average length, with length 0."""
+        """corpus: one row an atom_id. Documents without terms count in N and in the average length, with length 0.
+
+        Without a stemmer nothing is shuffled but what the postings need. A stemmer sees each distinct term once, so the terms are
+        written first, and a document's stems are brought together again.
+        """
         text = F.col("body") if text is None else text
         idents = tx.ANALYZERS[analyzer][2]
         terms = (tx.unstemmed_terms if idents else tx.plain_terms)(F.coalesce(text, F.lit("")), analyzer)
-        placed = corpus.select("atom_id", terms.alias("terms")).repartition("atom_id").withColumn("doc_len", F.size("terms"))
-        if tx.ANALYZERS[analyzer][1] is not None:
-            placed = cut(placed)  # the stemmer's vocabulary and the postings both come from the tokens
-        tokens = placed.select("atom_id", "doc_len", F.explode("terms").alias("t"))
+        placed = corpus.select("atom_id", terms.alias("terms")).withColumn("doc_len", F.size("terms")).select("atom_id", "doc_len", "terms")
+        if tx.ANALYZERS[analyzer][1] is None:
+            return _of_rows(placed, analyzer)
+        placed = cut(placed.repartition("atom_id"))
+        tokens = placed.select("atom_id", "doc_len", F.explode_outer("terms").alias("t"))
         tokens = tokens.select("atom_id", "doc_len", "t.term", "t.whole") if idents else tokens.withColumnRenamed("t", "term")
-        tokens = tx.stem_terms(tokens, analyzer, whole="whole" if idents else None)
-        postings = tokens.groupBy("atom_id", "doc_len", "term").agg(F.count("*").alias("tf"))
-        return Index(postings, placed.select("atom_id", "doc_len"), analyzer)
+        stems = tx.stem_terms(tokens, analyzer, whole="whole" if idents else None).groupBy("atom_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+        # A document without terms keeps its row: the list leaves out its null.
+        return _of_rows(stems.groupBy("atom_id", "doc_len").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms")), analyzer)
+
+    def by_document(self) -> DataFrame:
+        """The postings, partitioned so that sums over a document's terms stay in its task."""
+        return self.postings
 
     def stats(self) -> DataFrame:
         """One row: n_docs, avg_len (0 for an empty corpus)."""
         return self.docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_len"))
 
     def document_frequency(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, df), of the given distinct terms only if there are any: counted in each task before the shuffle."""
-        rows = self.postings if terms is None else self.postings.join(small(terms), "term", "left_semi")
-        return rows.groupBy("term").agg(F.count("*").alias("df"))
+        """(term, df), of the given distinct terms only if there are any (marked for broadcast if they are few): counted in each task before the shuffle."""
+        each = self.rows.select(F.explode(F.array_distinct("terms") if _plain(self.rows) else F.col("terms.term")).alias("term"))
+        return (each if terms is None else each.join(terms, "term", "left_semi")).groupBy("term").agg(F.count("*").alias("df"))
 
     def stored(self) -> Index:
         """The same index, made once: a row a document is written to the checkpoint folder, and all the rest is read from it."""
-        return self if self.rows is not None else _of_rows(cut(self.forward()), self.analyzer)
+        return self if self.kept else _of_rows(cut(self.rows), self.analyzer, True)
 
     def write(self, path: str) -> None:
         """A row a document; the stamp comes last, so an index that was not finished is not read."""
-        self.forward().write.mode("overwrite").parquet(f"{path}/rows")
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
         self.stats().withColumn("analyzer", F.lit(self.analyzer)).write.mode("overwrite").parquet(f"{path}/stamp")
 
     @staticmethod
@@ -124,11 +122,17 @@ class Index:
         stamp = spark.read.parquet(f"{path}/stamp").first()
         if stamp is None or stamp.analyzer != analyzer:
             raise ValueError(f"the index was built with analyzer {stamp and stamp.analyzer!r}, not {analyzer!r}")
-        return _of_rows(spark.read.parquet(f"{path}/rows"), analyzer)
+        return _of_rows(spark.read.parquet(f"{path}/rows"), analyzer, True)
+
+
+def _plain(rows: DataFrame) -> bool:
+    return rows.schema["terms"].dataType.simpleString() == "array<string>"
 
 
-def _of_rows(rows: DataFrame, analyzer: str) -> Index:
-    return Index(rows.select("atom_id", "doc_len", F.inline("terms")), rows.select("atom_id", "doc_len"), analyzer, rows)
+def _of_rows(rows: DataFrame, analyzer: str, kept: bool = False) -> Index:
+    spread = rows.repartition("atom_id")
+    postings = spread.select("atom_id", "doc_len", F.explode("terms").alias("term")).groupBy("atom_id", "doc_len", "term").agg(F.count("*").alias("tf")) if _plain(rows) else spread.select("atom_id", "doc_len", F.inline("terms"))
+    return Index(postings, rows.select("atom_id", "doc_len"), analyzer, rows, kept)
 
 
 def placed_fields(fields: DataFrame, analyzer: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:

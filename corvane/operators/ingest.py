@@ -86,10 +86,15 @@ def disambiguate_titles(chunks: DataFrame, doc: str = "source_path", title: str
     return salted_join(chunks, used, title).withColumn(title, F.when(F.col("_n").isNotNull() & (F.coalesce(F.col(path), F.lit("")) != ""), F.col(path)).otherwise(F.col(title))).drop("_n")
 
 
-def resolve_ids(chunks: DataFrame, base: str = "base_id", content: str = "body", doc: str = "source_path") -> DataFrame:
-    """Adds atom_id: the base id; where it collides, all that share it get 8 digits of the hash of document, place and content."""
+def content_print(content: str = "body", doc: str = "source_path") -> Column:
+    """8 digits of the hash of a chunk's document, place and content."""
+    return F.substring(F.sha1(F.concat_ws("\u0000", doc, F.col("chunk_no").cast("string"), content)), 1, 8)
+
+
+def resolve_ids(chunks: DataFrame, base: str = "base_id", print8: Column | None = None) -> DataFrame:
+    """Adds atom_id: the base id; where it collides, all that share it get their content_print()."""
     counts = chunks.groupBy(base).agg(F.count("*").alias("_n")).where("_n > 1")
-    print8 = F.substring(F.sha1(F.concat_ws("\u0000", doc, F.col("chunk_no").cast("string"), content)), 1, 8)
+    print8 = content_print() if print8 is None else print8
     return salted_join(chunks, counts, base).withColumn("atom_id", F.when(F.col("_n").isNull(), F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), print8))).drop("_n")
 
 
@@ -235,16 +240,16 @@ def ingest(docs: DataFrame, rules: DataFrame | None = None, default_type: str =
 
     Composes the chunker and the steps above. Documents without a path are dropped; an empty text gives no atom.
     """
-    chunks = chunk_documents(docs.where("source_path is not null"), "text", ["source_path", "domain", "doc_type"], limit)
-    chunks = chunks.withColumn("doc_title", F.coalesce("found_title", stem_title(F.col("source_path")))).drop("found_title")
-    chunks = number_parts(chunks.withColumn("body", compose_body(F.col("body"), F.col("heading_chain"), limit)).where(F.trim("body") != ""))
-    chunks = chunks.withColumn("heading_path", F.array_join(F.filter("heading_chain", lambda t: F.trim(t) != ""), " > "))
-    chunks = disambiguate_titles(chunks)
+    # The texts go through the chunker once. Titles, ids and places are settled on keys; the bodies are joined to them at the end.
+    made = chunk_documents(docs.where("source_path is not null"), "text", ["source_path", "domain", "doc_type"], limit)
+    made = made.withColumn("body", compose_body(F.col("body"), F.col("heading_chain"), limit)).where(F.trim("body") != "")
+    chunks = cut(made.withColumn("_id", F.monotonically_increasing_id()))
+    keys = cut(number_parts(chunks.select("_id", "source_path", "chunk_no", "heading_chain", "chunk_title", content_print().alias("_print"))))
+    keys = disambiguate_titles(keys.withColumn("heading_path", F.array_join(F.filter("heading_chain", lambda t: F.trim(t) != ""), " > ")))
     base = tx.truncate_slug(tx.slugify(F.concat_ws(" ", F.regexp_extract("source_path", r"([^/]+?)(?:\.[^./]*)?$", 1), "title")))
-    chunks = resolve_ids(chunks.withColumn("base_id", base))
-    atoms = chunks.select(
+    keys = resolve_ids(cut(keys.withColumn("base_id", base)), print8=F.col("_print"))
+    placed = renumber_origins(cut(keys.select("_id", "atom_id", "title", "heading_path", F.col("source_path").alias("document"), F.col("chunk_no").alias("origin_index"))))
+    return placed.join(chunks.drop("heading_chain", "chunk_title"), "_id").select(
         "atom_id", "title", F.col("domain").alias("x_domain"), F.coalesce("doc_type", F.lit(default_type)).alias("atom_type"), F.col("heading_path").alias("heading_chain"),
-        F.col("chunk_no").alias("origin_index"), F.array("source_path").alias("sources"), F.col("source_path").alias("document"), "doc_title", "body",
+        F.col("new_index").alias("origin_index"), F.col("new_count").alias("origin_count"), F.array("source_path").alias("sources"), F.coalesce("found_title", stem_title(F.col("source_path"))).alias("doc_title"), "body",
     )
-    numbered = renumber_origins(atoms)
-    return numbered.withColumn("origin_index", F.col("new_index")).withColumn("origin_count", F.col("new_count")).drop("new_index", "new_count", "document")

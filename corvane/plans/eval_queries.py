@@ -49,7 +49,8 @@ class _Legs(dict):
     def __init__(self, spark: SparkSession, d: str, depth: int) -> None:
         super().__init__()
         self.depth = depth
-        self.corpus, self.terms = corpus(spark, d), rk.query_terms(queries_of(spark, d), ANALYZER)
+        self.corpus = cut(corpus(spark, d).select("atom_id", "title", "body"))  # every leg reads it
+        self.terms = cut(rk.query_terms(queries_of(spark, d), ANALYZER))
 
     def __missing__(self, name: str) -> DataFrame:
         text = {"linear": text_of(), "body": F.col("body"), "title": F.col("title")}[name]

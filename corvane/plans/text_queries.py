@@ -11,7 +11,7 @@ from corvane.operators import deliver as dv
 from corvane.operators import index as ix
 from corvane.plans import sql
 from corvane.plans.rank_queries import corpus, queries_of
-from corvane.session import table
+from corvane.session import spread, table
 from corvane.sources import markdown
 
 
@@ -124,12 +124,12 @@ def m1_hashes(spark, d):
 
 
 def c5_chunks(spark, d):
-    rows = chunking.chunk_documents(table(spark, d, "documents"), "text", ["doc_id"])
+    rows = chunking.chunk_documents(spread(table(spark, d, "documents").select("doc_id", "text")), "text", ["doc_id"])
     return rows.select("doc_id", "chunk_no", F.array_join("heading_chain", " > ").alias("heading_chain"), "chunk_title", F.length("body").alias("n_chars"), "start_line")
 
 
 def c6_ingest(spark, d):
-    docs = table(spark, d, "documents").select("source_path", "text", F.col("x_domain").alias("domain"), "doc_type")
+    docs = spread(table(spark, d, "documents").select("source_path", "text", F.col("x_domain").alias("domain"), "doc_type"))
     return ingest.ingest(docs).select("atom_id", "title", "heading_chain", "x_domain", "atom_type", "origin_index", "origin_count", F.length("body").alias("n_chars"))
 
 

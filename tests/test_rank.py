@@ -141,7 +141,7 @@ def test_weights_beyond_the_broadcast_give_the_same_ranking(spark, corpus, monke
     full = [tuple(r)[:3] for r in rk.top_k(rk.bm25(idx, q), 3).orderBy("query_id", "rank").collect()]
     monkeypatch.setattr(rk, "CELLS", 3)
     assert [tuple(r) for r in rk.bm25_top(idx, q, 3).orderBy("query_id", "rank").collect()] == want and [t[:3] for t in want] == full
-    monkeypatch.setattr(rk, "fits", lambda df, limit=0: False)
+    monkeypatch.setattr(rk, "BROADCAST_ROWS", 1)
     assert [tuple(r) for r in rk.bm25_top(idx, q, 3).orderBy("query_id", "rank").collect()] == want
 
 
