@@ -182,6 +182,19 @@ def metric_disagreement(recorded: DataFrame, recomputed: DataFrame, metrics: tup
     return both.where(F.col("recorded").isNotNull() & (F.coalesce(F.abs(F.col("recorded") - F.col("recomputed")), F.lit(float("inf"))) > tolerance))
 
 
+# How closely a re-scored metric must agree with the recorded one in a forecast, and in forensics.
+REPRODUCTION_TOLERANCE, AGREEMENT_TOLERANCE = 1e-9, 1e-4
+
+
+def check_reproduction(recorded: DataFrame, recomputed: DataFrame, metric: str = "ndcg10", tolerance: float = REPRODUCTION_TOLERANCE) -> None:
+    """Refuses a run whose recorded topics cannot be re-scored to the same value: names how many differ and the first of them."""
+    off = metric_disagreement(recorded, recomputed, (metric,), tolerance)
+    n = off.count()
+    if n:
+        first = off.orderBy("query_id").first()
+        raise ValueError(f"{n} topics are not reproduced, among them {first.query_id}: {first.recorded} recorded, {first.recomputed} recomputed")
+
+
 def random_recall(n_docs: int, depths: tuple[int, ...] = RECALL_DEPTHS) -> list[tuple[int, float]]:
     """(k, recall) a random ranking reaches: min(1, k / N)."""
     return [(k, min(1.0, k / n_docs) if n_docs else 0.0) for k in depths]

@@ -256,6 +256,15 @@ def e26_metric_delta(spark: SparkSession, d: str) -> DataFrame:
     return per.withColumn("delta", F.round(F.col("mean_score") - before, 9)).select("query_id", "run_tag", "mean_score", "delta")
 
 
+def e26_ndcg_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Each judged topic's nDCG@10 in a run against that in the run before it."""
+    hits = run_rankings(spark, d)
+    began = run_rows(spark, d).groupBy("run_tag").agg(F.min("run_at").alias("run_at"))
+    m = ev.topic_metrics(hits, qrels(spark, d), DEPTH, hits).select("run_tag", "query_id", F.round("ndcg10", 9).alias("ndcg10")).join(began, "run_tag")
+    before = F.lag("ndcg10").over(Window.partitionBy("query_id").orderBy("run_at", "run_tag"))
+    return m.withColumn("delta", F.round(F.col("ndcg10") - before, 9)).select("run_tag", "query_id", "ndcg10", "delta")
+
+
 def e27_regression_gate(spark: SparkSession, d: str) -> DataFrame:
     m = e_run_metrics(spark, d).select("run_tag", "ndcg10", "recall10")
     before = F.lag("ndcg10").over(Window.orderBy("run_tag"))  # one row a run
@@ -416,7 +425,7 @@ QUERIES = {
         f2_type_and_domain, f4_live_atoms, f5_known_type, f7_relevance_floor,
         w3_cap_per_document, w5_reading_order, w6_fit_budget, w8_confidence, w9_normalised, w10_document_rollup, w11_atom_spread, w13_percentiles, w15_pack,
         e_topic_metrics, e_run_metrics, e13_strata, e14_dataset_score, e15_forensics, e16_gold_in_budget, e18_significance, e21_gold_audit, e22_collapsing_topics, e24_reachability, e26_metric_delta, e27_regression_gate, e31_recall_curves, e33_legacy_ndcg, e34_random_recall, e35_metric_disagreement,
-        e35_late_loads, e22_collapsing_run_topics, e17_engine_metrics, e17_engine_summary, r17_best_cell, r10_dense_leg, r11_hybrid, u5_served_fusion, f3_default_exclusion, w7_reserved_budget, e40_cross_pairs,
+        e26_ndcg_delta, e35_late_loads, e22_collapsing_run_topics, e17_engine_metrics, e17_engine_summary, r17_best_cell, r10_dense_leg, r11_hybrid, u5_served_fusion, f3_default_exclusion, w7_reserved_budget, e40_cross_pairs,
         u6_fusion_grid_deep, u8_rerank_deep, w3_cap_per_document_deep, w5_reading_order_deep, w15_pack_deep, e_topic_metrics_deep, e14_dataset_score_deep, e31_recall_curves_deep,
     )
 }
@@ -608,6 +617,8 @@ _LATE = lambda name, where: f"""{name} AS (SELECT run_tag, query_id, doc_id, row
   SELECT run_tag, query_id, {_REF('atom_id')} AS doc_id, rank_no AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_tag, query_id, rank_no ORDER BY loaded_at DESC, hit_no DESC) AS rn FROM run_hits WHERE run_tag IS NOT NULL{where}) WHERE rn = 1) WHERE doc_id IS NOT NULL GROUP BY 1, 2, 3))"""
 
 ORACLES |= {
+    "e26_ndcg_delta": sql.base(_QRELS, _RUNS, _metrics_sql("hits", DEPTH, "hits"), "began AS (SELECT run_tag, min(run_at) AS run_at FROM runs GROUP BY 1)", "nd AS (SELECT run_tag, query_id, round(ndcg10, 9) AS ndcg10, run_at FROM metrics JOIN began USING (run_tag))")
+        + "SELECT run_tag, query_id, ndcg10, round(ndcg10 - lag(ndcg10) OVER (PARTITION BY query_id ORDER BY run_at, run_tag), 9) AS delta FROM nd",
     "e18_significance": sql.base(*_PAIR, _draws_sql(("ndcg10",))) + "SELECT topics, mean_difference, p_value, ci_low, ci_high FROM paired",
     "e40_cross_pairs": sql.base(*_PAIR, _draws_sql(_CROSS_THERE)) + f"SELECT metric, topics, round(mean_difference, 9) AS mean_difference, round(p_value, 9) AS p_value, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, p_value < 0.05 AS significant FROM (VALUES {', '.join(chr(40) + repr(m) + chr(41) for m in sg.CROSS_METRICS)}) v(metric) LEFT JOIN paired USING (metric)",
     "e35_late_loads": sql.base(_QRELS, "every AS (SELECT DISTINCT run_tag, query_id FROM run_hits WHERE run_tag IS NOT NULL)", _LATE("ra", " AND loaded_at <= run_at + INTERVAL 7 DAY"), _LATE("rb", ""), _metrics_sql("ra", DEPTH, "every", "ma"), _metrics_sql("rb", DEPTH, "every", "mb"),

@@ -47,7 +47,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder")
         shared = tempfile.mkdtemp(prefix="corvane-")
     sc.setCheckpointDir(shared)

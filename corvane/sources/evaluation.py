@@ -43,6 +43,15 @@ def topics_of(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     return queries.where("trim(query_text) <> ''").join(qrels.select("query_id").distinct(), "query_id", "left_semi")
 
 
+def read_passages(spark: SparkSession, documents: str, examples: str) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, text) and examples (id, query_text, gold_ids, gold_ids_long, excluded_ids) of a passage benchmark in parquet files; blank ids go."""
+    docs = spark.read.parquet(documents).where("trim(id) <> ''").select(safe_id(F.col("id").cast("string")).alias("doc_id"), F.col("content").alias("text"))
+    rows = spark.read.parquet(examples).where("trim(id) <> ''")
+    empty = F.array().cast("array<string>")
+    ids = lambda c: (F.coalesce(F.col(c).cast("array<string>"), empty) if c in rows.columns else empty).alias(c)
+    return docs, rows.select(F.col("id").cast("string").alias("id"), F.col("query").alias("query_text"), *map(ids, ("gold_ids", "gold_ids_long", "excluded_ids")))
+
+
 def passages_to_qrels(examples: DataFrame, granularity: str = "long") -> tuple[DataFrame, DataFrame]:
     """(query_id, doc_id, grade) and (query_id, doc_id) excluded, of examples (id, gold_ids, gold_ids_long, excluded_ids). 'N/A' excludes nothing."""
     gold = {"long": "gold_ids_long", "passage": "gold_ids"}[granularity]

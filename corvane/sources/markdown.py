@@ -102,6 +102,17 @@ def serialise_atoms(atoms: DataFrame) -> DataFrame:
     return atoms.select(path.alias("path"), F.concat(F.lit("---\n"), head, sources, F.lit("---\n\n"), F.coalesce("body", F.lit(""))).alias("text"))
 
 
+def round_trip_failures(atoms: DataFrame) -> DataFrame:
+    """(atom_id, error): atoms (unique ids) whose file does not parse, or does not give back what was written; those that do have no row."""
+    back = parse_atoms(serialise_atoms(atoms).withColumnRenamed("path", "source_path"))
+    names = {"type": "atom_type", "id": "atom_id"}
+    ours = atoms.select(F.xxhash64("atom_id").alias("_h"), "atom_id", *(F.col(names.get(k, k)).cast("string").alias(f"_{k}") for k in (*REQUIRED, *OPTIONAL)), F.col("sources").alias("_sources"), F.regexp_replace(F.coalesce("body", F.lit("")), r"^\n+", "").alias("_body"))
+    both = ours.join(back.drop("path"), ours["atom_id"] == back["id"], "left")
+    lost = [F.when(~F.col(f"_{k}").eqNullSafe(F.col(k)), F.lit(k)) for k in (*REQUIRED, *OPTIONAL, "sources", "body")]
+    error = F.coalesce(F.when(F.col("ok").isNull(), "no file gives this id back"), F.col("error"), F.nullif(F.concat(F.lit("changed: "), F.array_join(F.array_compact(F.array(*lost)), ", ")), F.lit("changed: ")))
+    return both.select(ours["atom_id"], error.alias("error")).where("error is not null")
+
+
 def write_atoms(atoms: DataFrame, path: str, owner: str) -> None:
     """Replace the atoms under path, so that none of an earlier run stays; a folder that another owner wrote is refused."""
     spark = atoms.sparkSession

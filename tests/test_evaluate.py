@@ -181,3 +181,11 @@ def test_identifier_gap_takes_the_rarest_part(spark):
     q = spark.createDataFrame([("a", "retry_policy cache.size x"), ("b", None), ("c", "retry-nothing")], "query_id string, query_text string")
     got = {r.query_id: (r.n_terms, r.n_gaps, r.gap_terms) for r in rk.vocabulary_gap(q, df, "ident-porter-fold").collect()}
     assert got["a"][2] == "cache_size size x" and got["c"][2] == "noth retry_nothing" and "b" not in got
+
+
+def test_reproduction_is_checked(spark):
+    a = spark.createDataFrame([("q1", 0.5), ("q2", 0.25)], "query_id string, ndcg10 double")
+    ev.check_reproduction(a, a.withColumn("ndcg10", F.col("ndcg10") + 1e-12))
+    with pytest.raises(ValueError, match="2 topics"):
+        ev.check_reproduction(a, a.withColumn("ndcg10", F.col("ndcg10") + 1e-6))
+    ev.check_reproduction(a, a.withColumn("ndcg10", F.col("ndcg10") + 1e-6), tolerance=ev.AGREEMENT_TOLERANCE)

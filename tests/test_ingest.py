@@ -224,3 +224,19 @@ def test_domain_census_names_what_was_dropped(spark):
     files = spark.createDataFrame([("docs", True), ("docs", False), ("notes", False), (None, True)], "domain string, ok boolean")
     got = {r.domain: (r.files, r.indexed, r.declared, r.dropped) for r in ing.domain_census(files, ["docs", "wiki"]).collect()}
     assert got == {"docs": (2, 1, True, False), "notes": (1, 0, False, True), "wiki": (0, 0, True, False)}
+
+
+def test_passage_benchmark(spark, tmp_path):
+    spark.createDataFrame([("d/1", "text"), (" ", "x")], "id string, content string").write.parquet(str(tmp_path / "docs"))
+    spark.createDataFrame([("7", "why", ["d/1"], ["N/A"])], "id string, query string, gold_ids array<string>, excluded_ids array<string>").write.parquet(str(tmp_path / "ex"))
+    docs, examples = se.read_passages(spark, str(tmp_path / "docs"), str(tmp_path / "ex"))
+    qrels, excluded = se.passages_to_qrels(examples, "passage")
+    assert [tuple(r) for r in docs.collect()] == [("d_1", "text")] and [tuple(r) for r in qrels.collect()] == [("7", "d_1", 1)] and excluded.count() == 0
+
+
+def test_round_trip_failures(spark):
+    schema = "atom_id string, atom_type string, title string, x_domain string, status string, summary string, heading_chain string, origin_index int, origin_count int, stale_after string, verified_by string, verified_at string, sources array<string>, body string"
+    good = ("a-1", "review", 'T "q"', "docs", "stable", None, "A > B", 1, 2, "2025-01-01", None, None, ["s.md"], "\nbody\n")
+    rows = [good, ("a-2", *good[1:4], "odd", *good[5:]), ("a-3", *good[1:9], "soon", *good[10:]), ("a-4", *good[1:2], "two\nlines", *good[3:]), ("a-5", *good[1:12], [" s.md "], "b")]
+    got = {r.atom_id: r.error for r in md.round_trip_failures(spark.createDataFrame(rows, schema)).collect()}
+    assert set(got) == {"a-2", "a-3", "a-4", "a-5"} and "unknown status" in got["a-2"] and "stale_after" in got["a-3"] and got["a-5"] == "changed: sources"
