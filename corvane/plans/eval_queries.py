@@ -512,7 +512,7 @@ ORACLES = {
     "u6_fusion_grid": sql.base(*_START, *_LINEAR, *_BODY_LEG, *_TITLE,
         "legs AS (SELECT 'linear' AS leg, query_id, atom_id, rank FROM leg_linear UNION ALL SELECT 'body', query_id, atom_id, rank FROM leg_body UNION ALL SELECT 'title', query_id, atom_id, rank FROM leg_title)",
         "weights AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{leg}', {w!r}::DOUBLE)" for f, leg, w in fu.fusion_grid(["linear", "body", "title"])) + ") x(fusion, leg, weight))",
-        "scores AS (SELECT fusion, query_id, atom_id, round(sum(weight / (20 + rank)), 12) AS score FROM legs JOIN weights USING (leg) GROUP BY 1, 2, 3)", sql.ranked("scores", 10, keys="fusion, query_id")) + "SELECT fusion, query_id, atom_id, score, rank FROM ranked",
+        "scores AS (SELECT fusion, query_id, atom_id, round(sum(weight / (20 + rank)), 12) AS score FROM legs JOIN weights USING (leg) WHERE rank <= 100 GROUP BY 1, 2, 3)", sql.ranked("scores", 10, keys="fusion, query_id")) + "SELECT fusion, query_id, atom_id, score, rank FROM ranked",
     "u7_head_to_head": sql.base(*_START, *_BODY_LEG, *_TITLE, _QRELS, "ra AS (SELECT query_id, atom_id AS doc_id, rank FROM leg_body)", "rb AS (SELECT query_id, atom_id AS doc_id, rank FROM leg_title)", _metrics_sql("ra", 40, name="ma"), _metrics_sql("rb", 40, name="mb"))
         + "SELECT count(*) FILTER (a.ndcg10 - b.ndcg10 > 1e-9) AS wins, count(*) FILTER (a.ndcg10 - b.ndcg10 < -1e-9) AS losses, count(*) FILTER (abs(a.ndcg10 - b.ndcg10) <= 1e-9) AS ties FROM ma a JOIN mb b USING (query_id)",
     "u8_rerank": sql.base(*_START, *_BODY_LEG, f"q AS (SELECT query_id, list_distinct({sql.tok('query_text')}) AS qt FROM queries)",
