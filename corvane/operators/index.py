@@ -63,7 +63,7 @@ def indexed_fields(atoms: DataFrame, enrichment: DataFrame | None = None, body_s
 
 @dataclass
 class Index:
-    """postings: (atom_id, doc_len, term, tf), partitioned by document; its statistics cover every document, whatever is filtered later.
+    """postings: (atom_id, doc_len, term, tf); its statistics cover every document, whatever is filtered later.
 
     rows holds a document in one row: (atom_id, doc_len, terms), terms being either its terms in their order or array<struct<term, tf>>.
     """
@@ -96,7 +96,7 @@ class Index:
 
     def by_document(self) -> DataFrame:
         """The postings, partitioned so that sums over a document's terms stay in its task."""
-        return self.postings
+        return _postings(self.rows.repartition("atom_id"))
 
     def stats(self) -> DataFrame:
         """One row: n_docs, avg_len (0 for an empty corpus)."""
@@ -129,10 +129,14 @@ def _plain(rows: DataFrame) -> bool:
     return rows.schema["terms"].dataType.simpleString() == "array<string>"
 
 
+def _postings(rows: DataFrame) -> DataFrame:
+    if not _plain(rows):
+        return rows.select("atom_id", "doc_len", F.inline("terms"))
+    return rows.select("atom_id", "doc_len", F.explode("terms").alias("term")).groupBy("atom_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+
+
 def _of_rows(rows: DataFrame, analyzer: str, kept: bool = False) -> Index:
-    spread = rows.repartition("atom_id")
-    postings = spread.select("atom_id", "doc_len", F.explode("terms").alias("term")).groupBy("atom_id", "doc_len", "term").agg(F.count("*").alias("tf")) if _plain(rows) else spread.select("atom_id", "doc_len", F.inline("terms"))
-    return Index(postings, rows.select("atom_id", "doc_len"), analyzer, rows, kept)
+    return Index(_postings(rows), rows.select("atom_id", "doc_len"), analyzer, rows, kept)
 
 
 def placed_fields(fields: DataFrame, analyzer: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
