@@ -211,3 +211,22 @@ def test_ranks_in_each_cell_of_a_grid(spark):
     wanted = docs.where("atom_id in ('a1', 'a7', 'a24')").selectExpr("explode(array('p', 'q')) as query_id", "atom_id")
     want = {(c.k1, c.b, *r) for c in grid.collect() for r in rk.top_k(rk.bm25(idx, q, c.k1, c.b), 20).select("query_id", "atom_id", "rank").join(wanted, ["query_id", "atom_id"], "left_semi").collect()}
     assert want and {tuple(r) for r in rk.ranks_of(idx, q, wanted, 20, grid).collect()} == want
+
+
+def _no_ranking(monkeypatch):
+    from corvane.operators import rank as rk
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a ranking was made: rows of queries x depth on disk")
+
+    for name in ("bm25_top", "top_k"):
+        monkeypatch.setattr(rk, name, refused)
+
+
+def test_the_deep_recall_curve_comes_without_a_ranking(spark, tiny, monkeypatch):
+    from corvane.plans import eval_queries as eq
+
+    whole = ev.macro_metrics(ev.topic_metrics(eq.golden_ranking(spark, tiny, 1_000), eq.qrels(spark, tiny), 1_000)).first()
+    _no_ranking(monkeypatch)
+    assert {r.k: r.recall for r in eq.e31_recall_curves_deep(spark, tiny).collect()} == {k: whole[f"recall{k}"] for k in ev.RECALL_DEPTHS}
+    assert whole.recall1000 > whole.recall10 > 0
