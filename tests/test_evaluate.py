@@ -230,3 +230,13 @@ def test_the_deep_recall_curve_comes_without_a_ranking(spark, tiny, monkeypatch)
     _no_ranking(monkeypatch)
     assert {r.k: r.recall for r in eq.e31_recall_curves_deep(spark, tiny).collect()} == {k: whole[f"recall{k}"] for k in ev.RECALL_DEPTHS}
     assert whole.recall1000 > whole.recall10 > 0
+
+
+def test_deep_topic_metrics_come_without_a_ranking(spark, tiny, monkeypatch):
+    from corvane.plans import eval_queries as eq
+
+    rows = lambda df: {r.query_id: tuple(r[c] if r[c] is None else round(r[c], 9) for c in ev.METRICS) for r in df.collect()}
+    whole = eq.golden_ranking(spark, tiny, 1_000)
+    want = {k: rows(ev.topic_metrics(whole.where(f"rank <= {k}"), eq.qrels(spark, tiny), k)) for k in (20, 1_000)}
+    _no_ranking(monkeypatch)
+    assert rows(eq.e_topic_metrics_deep(spark, tiny)) == want[1_000] and rows(eq.e_topic_metrics(spark, tiny, 20)) == want[20] != want[1_000]
